@@ -39,6 +39,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return held
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a table of fewer splits than cores is dealt out anew before slow per-row work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder; they cut lineage and outlive executors.
 

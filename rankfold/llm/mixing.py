@@ -71,14 +71,19 @@ def mix_sources(
     block_words: int = 128,
     docs_per_bucket: int = 20_000,
     seed: int = 17,
+    keep=(),
     scratch: Scratch | None = None,
 ) -> Mix:
-    """The schedule and the pieces of documents that it takes; see the module for its rules."""
+    """The schedule and the pieces of documents that it takes; see the module for its rules.
+
+    The columns `keep` go along with the rows of `documents`.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "mix")
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
+        *keep,
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"),
     )
@@ -115,7 +120,7 @@ def mix_sources(
 
     # Documents: word offsets in the shuffled stream of their source, by a two-level prefix sum.
     placed = sized.join(sources.select("sid", "source_size", "target", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
-    placed = placed.select("sid", "doc_id", "size", "source_size", "target", "key", F.pmod("key", F.lit(n_buckets)).alias("bucket"))
+    placed = placed.select("sid", "doc_id", "source", *keep, "size", "source_size", "target", "key", F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size")
     placed = placed.withColumn("rn", F.row_number().over(inside))
     placed = placed.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))

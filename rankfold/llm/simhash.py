@@ -113,7 +113,7 @@ def _small(x: np.ndarray, shard: np.ndarray, radius: int, out: list) -> None:
         k += 1
 
 
-def _links(radius: int, leaf: int = 512, small: int = 32):
+def _links(radius: int, leaf: int = 512, small: int = 128):
     def made(batches):
         rest_x, rest_s = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 

@@ -11,8 +11,10 @@ windows around fingerprints that occur twice or more are hashed in full (64 bits
 second function that verify them), and the first of equal ones stays.  When more than `fanout` runs
 have piled up, they are compacted into one.
 
-Fingerprints with very many rows are range-partitioned with the row key, and equal windows are
-reduced to their first one in every slice of a map task before any shuffle.
+Windows are dealt to shards by their fingerprint, so that the repeats around one come back as one
+span; those of a fingerprint with very many rows are dealt by their own hashes.  In runs, such a
+fingerprint is range-partitioned with the row key.  Equal windows are reduced to their first one in
+every slice of a map task before any shuffle.
 
 Defined results: a null text has no words; null ids sort first; rows with equal id and text are one
 document and get the same result; rows with equal id and different texts are ordered by a hash;
@@ -27,17 +29,20 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, spread, table
-from .rolling import Family, find_words, sliding, text_slices
+from .rolling import Family, find_words, mix, sliding, text_slices
 
 NO_ID = -(1 << 63)
 SLICE = 1 << 21
 FIRST, SECOND = Family(20), Family(21)
 PAYLOAD = "shard int, docs binary, rks binary, fresh binary, firsts binary, h binary, c binary, at binary"
-MARKS = "doc long, rk long, at binary"
+MARKS = "doc long, rk long, span long"  # span: first start << 32 | number of starts
+#: Rows from which on a fingerprint's windows are dealt by their own hashes.
+HOT = 4096
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -84,7 +89,9 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
-    """PAYLOAD rows of docs (doc, rk, fresh, text, fps): windows at the fingerprints fps, by shards of their hash.
+    """PAYLOAD rows of docs (doc, rk, fresh, text, fps, hot): windows at the fingerprints fps, by shards.
+
+    hot are those of the fingerprints whose windows are dealt by their own hashes.
 
     Of equal windows in a slice only the first goes on; the positions of the others in fresh rows are
     sent as marks (h empty).
@@ -93,7 +100,7 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
     def made(batches):
         for batch in batches:
             doc, rk, fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rk", "fresh"))
-            fps = batch.column("fps")
+            fps, hot = batch.column("fps"), batch.column("hot")
             for row, data, offsets in text_slices(batch.column("text"), SLICE):
                 words = find_words(data, offsets)
                 if len(words.starts) < width:
@@ -101,14 +108,9 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
                 stop = row + len(offsets) - 1
                 hashes = words.hashes(FIRST)
                 least, whole, _, _ = anchors(words, hashes, width, gram)
-                part = fps.slice(row, stop - row)
-                known, owner = part.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(part)), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64))
                 # A pair of row and fingerprint as one number: a collision only adds a candidate.
-                salt = lambda d: (d.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-                pairs = np.sort(known ^ salt(owner))
-                mine = least ^ salt(words.doc[: len(least)])
-                found = np.searchsorted(pairs, mine)
-                at = np.flatnonzero(whole & (found < len(pairs)) & (pairs[np.minimum(found, len(pairs) - 1)] == mine)) if len(pairs) else np.zeros(0, np.int64)
+                mine = least ^ _salt(words.doc[: len(least)])
+                at = np.flatnonzero(whole & _among(mine, fps.slice(row, stop - row)))
                 if not len(at):
                     continue
                 h = words.windows(FIRST, hashes, width)[at]
@@ -132,15 +134,32 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
                         x = row + da[a]
                         yield _mark(int(rk[x]) % shards, doc[x], rk[x], pa_[a:b])
                 h, c, at = h[new], c[new], at[new]
-                use = np.unique(words.doc[at])
-                tables = (doc[row + use].tobytes(), rk[row + use].tobytes(), fresh[row + use].astype(np.uint8).tobytes(), words.first[use].astype(np.int64).tobytes())
-                # Hashes are sorted, so a shard is a range of them.
-                bounds = np.searchsorted((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(bounds)):
-                    a, b = bounds[s], bounds[s + 1]
-                    yield _payload(int(s), *tables, h[a:b].tobytes(), c[a:b].tobytes(), planes(at[a:b]))
+                by = np.where(np.isin(least[at].view(np.int64), np.unique(hot.slice(row, stop - row).flatten().to_numpy())), h, mix(least[at] ^ np.uint64(1)))
+                shard = ((by >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(shard, kind="stable")
+                h, c, at, shard = h[order], c[order], at[order], shard[order]
+                bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+                for a, b in zip(bounds, np.append(bounds[1:], len(shard)), strict=True):
+                    use = np.unique(words.doc[at[a:b]])
+                    tables = (doc[row + use].tobytes(), rk[row + use].tobytes(), fresh[row + use].astype(np.uint8).tobytes(), words.first[use].astype(np.int64).tobytes())
+                    yield _payload(int(shard[a]), *tables, h[a:b].tobytes(), c[a:b].tobytes(), planes(at[a:b]))
+
+    return docs.select("doc", "rk", "fresh", "text", "fps", "hot").mapInArrow(made, PAYLOAD)
+
+
+def _salt(row: np.ndarray) -> np.ndarray:
+    return (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+
 
-    return docs.select("doc", "rk", "fresh", "text", "fps").mapInArrow(made, PAYLOAD)
+def _among(mine: np.ndarray, lists: pa.Array) -> np.ndarray:
+    """Whether each salted value is one of the lists', salted by their row."""
+    known = lists.flatten().to_numpy().view(np.uint64)
+    if not len(known):
+        return np.zeros(len(mine), bool)
+    sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs = np.sort(known ^ _salt(np.repeat(np.arange(len(lists)), sizes)))
+    found = np.minimum(np.searchsorted(pairs, mine), len(pairs) - 1)
+    return pairs[found] == mine
 
 
 _TYPES = pa.schema([("shard", pa.int32()), *[(n, pa.binary()) for n in ("docs", "rks", "fresh", "firsts", "h", "c", "at")]])
@@ -158,12 +177,13 @@ def _later(group: pa.Table) -> pa.Table:
     """The MARKS of one shard: windows in fresh rows that are not the first of their equals."""
     parts, marks = [], []
     for r in group.to_pylist():
+        at = unplanes(r["at"]).astype(np.int64)
+        docs, rks = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["rks"], np.int64)
         if not r["h"]:
-            marks.append((np.frombuffer(r["docs"], np.int64)[0], np.frombuffer(r["rks"], np.int64)[0], r["at"]))
+            marks.append((np.repeat(docs, len(at)), np.repeat(rks, len(at)), at))
             continue
-        at, firsts = unplanes(r["at"]).astype(np.int64), np.frombuffer(r["firsts"], np.int64)
+        firsts, fresh = np.frombuffer(r["firsts"], np.int64), np.frombuffer(r["fresh"], np.uint8)
         d = np.searchsorted(firsts, at, "right") - 1
-        docs, rks, fresh = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["rks"], np.int64), np.frombuffer(r["fresh"], np.uint8)
         parts.append((np.frombuffer(r["h"], np.uint64), np.frombuffer(r["c"], np.uint32), docs[d], rks[d], at - firsts[d], fresh[d]))
     if parts:
         h, c, doc, rk, at, fresh = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -171,14 +191,15 @@ def _later(group: pa.Table) -> pa.Table:
         h, c, doc, rk, at, fresh = (x[order] for x in (h, c, doc, rk, at, fresh))
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        again = np.flatnonzero(((doc != doc[lead]) | (rk != rk[lead]) | (at != at[lead])) & (fresh > 0))
-        if len(again):
-            again = again[np.lexsort((at[again], rk[again], doc[again]))]
-            doc, rk, at = doc[again], rk[again], at[again]
-            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1])]))
-            marks += [(doc[a], rk[a], planes(at[a:b])) for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True)]
-    made = list(zip(*marks, strict=True)) or [(), (), ()]
-    return pa.table({"doc": pa.array(made[0], pa.int64()), "rk": pa.array(made[1], pa.int64()), "at": pa.array(made[2], pa.binary())})
+        again = ((doc != doc[lead]) | (rk != rk[lead]) | (at != at[lead])) & (fresh > 0)
+        marks.append((doc[again], rk[again], at[again]))
+    doc, rk, at = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((at, rk, doc))
+    doc, rk, at = doc[order], rk[order], at[order]
+    # Starts one after the other in a row are one span.
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1]) | (at[1:] > at[:-1] + 1)])) if len(at) else order
+    n = at[np.append(new[1:], len(at)) - 1] - at[new] + 1 if len(at) else at
+    return pa.table({"doc": pa.array(doc[new]), "rk": pa.array(rk[new]), "span": pa.array((at[new] << 32) | n)})
 
 
 @dataclass
@@ -223,11 +244,12 @@ class Index:
             for _, r in self.runs[1:]:
                 old = old.unionByName(r)
             every = run.unionByName(old)
-            own = own.join(old.select("fp").distinct().withColumn("old", F.lit(1)), "fp", "left").filter("n >= 2 or old = 1")
+            own = own.join(old.groupBy("fp").agg(F.sum("m").alias("old")), "fp", "left").filter("n >= 2 or old >= 1")
+            own = own.withColumn("n", F.col("n") + F.coalesce("old", F.lit(0)))
         else:
             own = own.filter("n >= 2")
-        twice = self.scratch.save(own.select("fp"), f"twice-{k}")
-        held = every.join(twice, "fp", "left_semi").groupBy("rk").agg(F.collect_list("fp").alias("fps"))
+        twice = self.scratch.save(own.select("fp", (F.col("n") >= HOT).alias("hot")), f"twice-{k}")
+        held = every.join(twice, "fp").groupBy("rk").agg(F.collect_list("fp").alias("fps"), F.collect_list(F.when(F.col("hot"), F.col("fp"))).alias("hot"))
         held = self.scratch.save(held, f"held-{k}")
         self.scratch.drop(f"twice-{k}")
         docs = batch.withColumn("fresh", F.lit(True))
@@ -249,10 +271,10 @@ def _removed(width: int):
             n = len(words)
             gone = 0
             if at is not None and len(at):
-                edge = np.zeros(n + width + 1, np.int32)
-                for b in at:
-                    np.add.at(edge, (p := unplanes(b).astype(np.int64)), 1)
-                    np.add.at(edge, p + width, -1)
+                edge, spans = np.zeros(n + width + 1, np.int32), np.asarray(at, np.int64)
+                start = spans >> 32
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + (spans & 0xFFFFFFFF) - 1 + width, -1)
                 stay = np.cumsum(edge[:n]) == 0
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 gone = n - len(words)
@@ -286,7 +308,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     marks = index.marks[0]
     for m in index.marks[1:]:
         marks = marks.unionByName(m)
-    marks = marks.groupBy(F.col("doc").alias("_doc"), F.col("rk").alias("_rk")).agg(F.collect_list("at").alias("_at"))
+    marks = marks.groupBy(F.col("doc").alias("_doc"), F.col("rk").alias("_rk")).agg(F.collect_list("span").alias("_at"))
     rows = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("_text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"))
     rows = rows.join(marks, (F.col("_key") == F.col("_rk")) & (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("_doc")), "left")
     out = rows.select("doc_id", *keep, _removed(width)("_text", "_at").alias("_r"))

@@ -45,6 +45,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers in batches of at most `rows` for the rest of the session: it bounds their memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 class Scratch:
     """Tables written under the shared checkpoint folder; they cut lineage and outlive executors.
 
@@ -77,15 +84,3 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-
-def slices(texts: list, most: int = 1 << 21):
-    """(start, stop) of runs of texts with about `most` characters in each; a longer text runs alone."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if held and held + n > most:
-            yield start, i
-            start, held = i, 0
-        held += n
-    if start < len(texts):
-        yield start, len(texts)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, spread, table
+from .common import SPACE_WORD, small_batches, spread, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_alpha", "n_digits", "n_marks", "n_distinct")
 #: Ratios that rules may test, as SQL over the counts.
@@ -87,6 +87,7 @@ def text_counts(text: str | None) -> tuple:
 
 def with_counts(docs: DataFrame, text_col: str = "text", name: str = "stats") -> DataFrame:
     """docs with a struct column of COUNTS."""
+    small_batches(docs.sparkSession)
 
     def counted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([text_counts(t) for t in texts], columns=COUNTS, dtype="int64")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, spread, table
+from .common import LOWER, UPPER, Scratch, small_batches, spread, table
 
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -58,6 +58,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", shingle: int = 4, keep=()) -> DataFrame:
     """doc_id, fp (long) and the columns `keep`."""
+    small_batches(docs.sparkSession)
 
     def made(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")

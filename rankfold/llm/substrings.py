@@ -33,11 +33,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, spread, table
+from .common import Scratch, small_batches, spread, table
 from .rolling import Family, find_words, mix, sliding, text_slices
 
 NO_ID = -(1 << 63)
-SLICE = 1 << 21
+#: Bytes of text that a worker handles at a time; its arrays take about 60 bytes for each.
+SLICE = 1 << 19
 FIRST, SECOND = Family(20), Family(21)
 PAYLOAD = "shard int, docs binary, rks binary, fresh binary, firsts binary, h binary, c binary, at binary"
 MARKS = "doc long, rk long, span long"  # span: first start << 32 | number of starts
@@ -291,6 +292,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     The rows are added to a new index in `batches` ranges of their ids, the smallest ids first.
     """
     scratch = scratch or Scratch(docs.sparkSession, "substrings")
+    small_batches(docs.sparkSession)
     keyed = docs.select(
         F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("long").alias("doc"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("rk"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )

@@ -17,6 +17,7 @@ from collections import Counter
 
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,12 +97,12 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, sample_docs: int
     def counted(batches):
         seen, pieces = Counter(), regex.compile(public_tokenizers.PATTERN).findall
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 seen.update(pieces(text))
         top = seen.most_common(each)
-        yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
 
-    counts = sample.mapInPandas(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     top = [r.piece for r in counts.orderBy(F.desc("n"), "piece").limit(table_size).collect()]
     encoded = Tokenizer.from_file(path).encode_batch(top, add_special_tokens=False)
     return {p: len(e.ids) for p, e in zip(top, encoded)}

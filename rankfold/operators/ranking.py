@@ -43,7 +43,7 @@ def asof(probes: DataFrame, data: DataFrame, probe: str, key: str, payload: list
     Of equal keys the row with the greatest payload counts.
     """
     cuts = sorted(set(data.approxQuantile(key, [i / cells for i in range(1, cells)], 0.5 / cells)))
-    array = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
+    array = F.array(*[F.lit(min(int(c), (1 << 63) - 1)) for c in cuts]).cast("array<bigint>")
 
     def cell(c: Column) -> Column:
         return F.size(F.filter(array, lambda x: x <= c)).alias("_cell")

@@ -118,11 +118,9 @@ def detections(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
     table_ = spark.createDataFrame(rules(), "rule_id int, label string, keyword string, regex string, priority int, confidence double")
     keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in rules()})])
     gated = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), normalised(F.col(text_col)).alias("norm"))
-    trigger = F.lit(False)
-    for word in TRIGGERS:
-        trigger = trigger | F.contains("norm", F.lit(f" {word} "))
-    gated = gated.filter(trigger).withColumn("row", F.monotonically_increasing_id())
-    gated = gated.withColumn("keyword", F.explode(F.array_intersect(F.split("norm", " "), keywords)))
+    # One reference to `norm`: the filter is pushed below the projection, with a copy of it for each.
+    gated = gated.filter(F.regexp_like("norm", F.lit(f" (?:{'|'.join(TRIGGERS)}) "))).withColumn("row", F.monotonically_increasing_id())
+    gated = gated.withColumn("keyword", F.explode_outer(F.array_intersect(F.split("norm", " "), keywords))).filter("keyword is not null")
     # The rule table is fixed in this file, some hundred short rows, so it may be broadcast.
     tried = gated.join(F.broadcast(table_), "keyword").filter(F.regexp_like("norm", F.col("regex")))
     both = F.arrays_zip(

@@ -12,6 +12,7 @@ empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 
@@ -56,7 +57,7 @@ class Counting(dict):
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.exotic = regex.compile(_exotic()).search
+        self.exotic = re.compile(_exotic()).search  # re looks a character up in a table, regex tries the ranges in turn
 
     def __missing__(self, piece: str) -> int:
         n = self.frequent.get(piece)

@@ -12,10 +12,11 @@ from .ranking import asof, with_pages, with_rank
 SEGMENT = "first_key long, slope double, first_rank long, last_rank long, max_err long"
 
 
-def cone(keys: np.ndarray, low: np.ndarray, high: np.ndarray, y: np.ndarray, start: int) -> tuple[int, float]:
+def cone(keys: np.ndarray, low: np.ndarray, high: np.ndarray, y: np.ndarray, start: int, knots: bool = False) -> tuple[int, float]:
     """(stop, slope): the longest run from `start` that one line through (key, y) of start keeps in [low, high].
 
     The slopes that fit shrink to an interval; blocks of doubling size are tested at a time.
+    knots: the run also ends before the first key to which the line from start leaves the interval.
     """
     lo, hi, at, block = 0.0, np.inf, start + 1, 64
     while at < len(keys):
@@ -23,7 +24,8 @@ def cone(keys: np.ndarray, low: np.ndarray, high: np.ndarray, y: np.ndarray, sta
         dx = (keys[at:stop] - keys[start]).astype(float)
         los = np.maximum.accumulate(np.maximum((low[at:stop] - y[start]) / dx, lo))
         his = np.minimum.accumulate(np.minimum((high[at:stop] - y[start]) / dx, hi))
-        bad = np.flatnonzero(los > his)
+        to = (y[at:stop] - y[start]) / dx
+        bad = np.flatnonzero((to < los) | (to > his) if knots else los > his)
         if len(bad):
             k = bad[0]
             if k:
@@ -60,7 +62,7 @@ def segments(ranked: DataFrame, eps: int, page: int = 0, spline: bool = False) -
             low, high = y - eps, y + eps
         rows, at = [], 0
         while at < len(keys):
-            stop, slope = cone(keys, low, high, y, at)
+            stop, slope = cone(keys, low, high, y, at, spline)
             end = stop
             if spline and stop - at > 1:
                 slope = float(y[stop - 1] - y[at]) / float(keys[stop - 1] - keys[at])

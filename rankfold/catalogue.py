@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions.keys import bits, cents, micros, morton
+from .operators import codecs as C
 from .operators import encodings as E
+from .operators import hulls as H
 from .operators import lookups as L
 from .operators import models as M
 from .operators import spatial as S
@@ -249,6 +251,137 @@ def pla_lookup_duplicates(spark, d):
     return M.model_lookup(t, t.filter("key % 29 = 0").select(F.col("key").alias("probe")).distinct(), eps=32)
 
 
+# Longest segments, their shared and compressed forms.
+
+
+def _hull(spark, d, eps=16, page=0):
+    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
+    return r, materialize(H.hull_segments(r, eps, page), "hull")
+
+
+def _merged(spark, d, eps=16, page=0):
+    r, model = _hull(spark, d, eps, page)
+    return r, materialize(H.refit(r, H.merge_slopes(model), eps, page), "merged")
+
+
+@query()
+def hull_segments(spark, d):
+    return _hull(spark, d)[1]
+
+
+@query(_FOUND)
+def hull_lookup(spark, d):
+    r, model = _hull(spark, d)
+    return H.find_ranks(r, _probes(r), model)
+
+
+@query(_FOUND)
+def bucket_lookup(spark, d):
+    r, model = _hull(spark, d)
+    return H.find_ranks(r, _probes(r), model, buckets=1024)
+
+
+@query(_FOUND)
+def merged_slope_lookup(spark, d):
+    r, model = _merged(spark, d)
+    return H.find_ranks(r, _probes(r), model)
+
+
+def _stored(name, **how):
+    def run(spark, d):
+        r, model = _merged(spark, d, **how)
+        coded = materialize(H.compress(model), "coded")
+        return H.find_ranks(r, _probes(r), materialize(H.decompress(coded, H.slope_table(model)), "decoded"))
+
+    run.__name__ = name
+    query(_FOUND)(run)
+
+
+_stored("compressed_pla_lookup", eps=16)
+_stored("compressed_di_lookup", eps=16, page=256)
+
+
+@query()
+def compressed_model_bits(spark, d):
+    return H.model_bits(H.compress(_merged(spark, d, 4)[1]))
+
+
+@query(f"{PROBES} SELECT probe, (SELECT max(rank) // 64 FROM rk WHERE key <= probe) AS page_id FROM probes")
+def coded_zone_pages(spark, d):
+    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
+    return asof(_probes(r), H.coded_zones(r, 64), "probe", "lo", ["page_id"]).select("probe", "page_id")
+
+
+@query(_FOUND)
+def separator_lookup(spark, d):
+    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
+    return H.in_page(r, H.page_of(_probes(r), materialize(H.separators(r, 64), "separators")), 64)
+
+
+# Variable-length blocks, strings, symbol tables.
+
+
+def _pieces(name, cut, kind):
+    def run(spark, d):
+        b = materialize(E.blocks(_events(spark, d), 512), "blocks")
+        back = C.unpack(materialize(C.pieces(b, cut, kind), "pieces"), kind).withColumnRenamed("key", "decoded")
+        out = b.join(back, ["block_id", "idx"], "left")
+        return out.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("key").eqNullSafe(F.col("decoded"))).alias("wrong"))
+
+    run.__name__ = name
+    query("SELECT count(*) AS n, 0::BIGINT AS wrong FROM events")(run)
+
+
+for _c in C.CUTS:
+    _pieces(f"pieces_{_c}_round_trip", _c, "line")
+_pieces("delta_pieces_round_trip", "greedy", "delta")
+_pieces("delta_pieces_merged_round_trip", "merge", "delta")
+
+
+@query()
+def piece_sizes(spark, d):
+    return C.piece_bits(C.pieces(E.blocks(_events(spark, d), 512), "best"))
+
+
+_NAMES = "WITH r AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS rank FROM customer), u AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS rank FROM pages WHERE url IS NOT NULL)"
+
+
+@query(f"{_NAMES} SELECT rank // 64 AS block_id, rank % 64 AS idx, c_name AS text FROM r WHERE rank % 7 = 3")
+def string_gather(spark, d):
+    b = materialize(E.blocks(_table(spark, d, "customer").select("c_name"), 64), "names")
+    return C.string_at(C.string_blocks(b, "c_name"), b.filter("rank % 7 = 3").select("block_id", "idx"))
+
+
+@query(f"{_NAMES} SELECT rank // 32 AS block_id, rank % 32 AS idx, url AS text FROM u")
+def string_round_trip(spark, d):
+    b = materialize(E.blocks(_table(spark, d, "pages").select("url").filter("url is not null"), 32), "urls")
+    return C.string_at(C.string_blocks(b, "url"), b.select("block_id", "idx"))
+
+
+@query(f"{_NAMES} SELECT rank // 128 AS block_id, rank % 128 AS idx, url AS text, octet_length(encode(url))::BIGINT AS n_bytes FROM u")
+def symbol_round_trip(spark, d):
+    b = E.blocks(_table(spark, d, "pages").select("url").filter("url is not null"), 128)
+    return C.decode_symbol_rows(C.symbol_blocks(b, "url")).drop("coded_bytes")
+
+
+@query()
+def prefix_code_sizes(spark, d):
+    b = E.blocks(_table(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("key")), 1024)
+    return C.prefix_code_bits(b, "key")
+
+
+@query()
+def hard_key_segments(spark, d):
+    """Segments that keys of two local and two broad hardnesses take at two errors."""
+    out = None
+    for local, broad in ((1, 1), (6, 1), (1, 8)):
+        r = materialize(with_rank(workload.hard_keys(spark, 20_000, local, broad).select("key"), "key"), "hard")
+        for eps in (8, 256):
+            n = H.hull_segments(r, eps).agg(F.lit(local).alias("local"), F.lit(broad).alias("broad"), F.lit(eps).alias("eps"), F.count(F.lit(1)).alias("n"))
+            out = n if out is None else out.unionByName(n)
+    return out
+
+
 # Encodings.
 
 _BLK = f"WITH {EV}, b AS (SELECT key, rank, rank // 256 AS block_id, rank % 256 AS idx FROM rk)"

@@ -37,18 +37,25 @@ from .common import LOWER, UPPER, Scratch, small_batches, spread, table
 BYTES_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """Bit i is set if it is set in more than half of the shingles' XXH64; as a signed 64-bit number."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every run of `shingle` words, repeats included; of the whole, if it has fewer; none without words."""
     words = text.encode().translate(BYTES_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return int(np.uint64(xxhash.xxh64_intdigest(joined, seed)).astype(np.int64))
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *ends[: -shingle].tolist()]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.fromiter([digest(joined[a:b], seed) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """Bit i is set if it is set in more than half of the shingles' XXH64; as a signed 64-bit number."""
+    h = shingle_hashes(text, shingle, seed)
+    if len(h) < 2:
+        return int(h.view(np.int64)[0]) if len(h) else 0
     total = np.zeros(64, np.int64)
     for i in range(0, len(h), 1 << 14):
         part = h[i : i + (1 << 14)]
@@ -208,6 +215,75 @@ def near_duplicates(prints: DataFrame, *, radius: int = 4, blocks: int = 6, scra
     return rooted.join(least, "root").select("fp", "component_id")
 
 
+def overlap_groups(texts, shingle: int = 5, least: float = 0.8) -> np.ndarray:
+    """For each text the place of the first of its group: components of shingle sets with a Jaccard of `least` or more.
+
+    Texts without words are one group.  Each text queries those not reached yet.
+    """
+    sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(len(sets)), size)
+    at = np.concatenate([[0], np.cumsum(size)])
+    ids, mark = flat, np.zeros(len(flat) + 1, bool)
+    group, left = np.full(len(sets), -1), np.ones(len(sets), bool)
+    for first in range(len(sets)):
+        todo = [first] if left[first] else []
+        group[todo], left[todo] = first, False
+        while todo and left.any():
+            q = todo.pop()
+            own = flat[at[q] : at[q + 1]]
+            mark[own] = True
+            both = np.bincount(owner[mark[ids]], minlength=len(sets)) if len(own) else np.zeros(len(sets), int)
+            mark[own] = False
+            near = np.flatnonzero(left & (both >= least * (size + len(own) - both)))
+            if len(near):
+                group[near], left[near] = first, False
+                todo.extend(near.tolist())
+                rest = left[owner]
+                ids, owner = ids[rest], owner[rest]
+    return group
+
+
+def verified(members: DataFrame, *, scratch: Scratch, shingle: int = 5, least: float = 0.8, most: int = 1000, most_bytes: int = 8 << 20, rounds: int = 8) -> DataFrame:
+    """(key, doc_id) of one row for each group of alike texts among `members` (component_id, key, doc_id, text), keys distinct.
+
+    Shingle sets are compared exactly inside a component.  One of more than `most` texts or
+    `most_bytes` is dealt to parts by a hash, the first rows of the parts' groups are dealt anew,
+    and so on until they fit one part, or a round finds nothing, so no task holds a large
+    component; there, a link of two rows that are not the first of their groups may go unseen.
+    The first row is the one of the least id (null ids last), then of the least key.
+    """
+
+    def grouped(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("key", ignore_index=True)
+        return pd.DataFrame({"key": x["key"], "label": x["key"].to_numpy()[overlap_groups(x["text"], shingle, least)]})
+
+    done, live = None, members
+    for k in range(rounds):
+        sizes = live.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+        sizes = sizes.select(F.col("component_id").alias("large"), "n", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / most_bytes)).alias("parts"))
+        large = scratch.save(sizes.filter("parts > 1"), f"large-{k}")
+        dealt = live.join(large, F.col("component_id").eqNullSafe(F.col("large")), "left")
+        part = F.coalesce(F.pmod(F.xxhash64("key", F.lit(k)), F.col("parts")), F.lit(0))
+        dealt = dealt.select(F.xxhash64("component_id", part).alias("part"), "key", "text")
+        labels = scratch.save(dealt.groupBy("part").applyInPandas(grouped, "key long, label long"), f"labels-{k}")
+        rows = labels.join(live.select("component_id", "key", "doc_id"), "key")
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+        first = rows.groupBy("label", "component_id").agg(F.min_by(F.struct("key", "doc_id"), order).alias("f")).select("component_id", "f.key", "f.doc_id")
+        first = scratch.save(first, f"first-{k}")
+        same = F.col("component_id").eqNullSafe(F.col("large"))
+        done_now = first.join(large, same, "left_anti").select("key", "doc_id")
+        done = done_now if done is None else done.unionByName(done_now)
+        rest = first.join(large, same, "left_semi")
+        n, before = rest.count(), large.agg(F.sum("n")).first()[0]
+        if not n:
+            return done
+        if n == before or k == rounds - 1:
+            break
+        live = scratch.save(live.join(rest.select("key"), "key", "left_semi"), f"live-{k}")
+    return done.unionByName(rest.select("key", "doc_id"))
+
+
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "simhash")
     prints = scratch.save(fingerprints(spread(table(spark, sf_dir, "documents"))), "prints")

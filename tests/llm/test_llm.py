@@ -211,6 +211,51 @@ def test_op8_dense_groups_and_split_shards(spark, most):
     assert all(len(g) == 1 for g in group.values()) and len({min(g) for g in group.values()}) == len(group)
 
 
+def brute_overlap(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().translate(simhash.BYTES_LOWER).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_overlap_groups_equal_brute_force(texts):
+    some = [*list(texts.values())[:120], None, "", " ", "one two", "One TWO", LONG, LONG]
+    assert simhash.overlap_groups(some).tolist() == brute_overlap(some)
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, odd):
+    docs = table(spark, DATA, "documents")
+    x = docs.select("doc_id", "text").orderBy("doc_id").toPandas()
+    x["group"] = brute_overlap(x["text"])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).select("doc_id").collect()}
+    n = x.groupby("group")["doc_id"].agg(lambda ids: len(kept & set(ids)))
+    assert (n >= 1).all() and n.sum() - len(n) <= 1  # a fingerprint may miss a group, but no clean row goes
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), DATA).count() == 0
+    ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, DATA).select("doc_id").collect()]
+    assert sorted(ids, key=str) == [1, 3, 5, 6, None]
+
+
+def test_verified_deals_large_components(spark):
+    words = [f"w{i}" for i in range(200)]
+    made = [(1, k * 60 + j, k * 60 + j if j else None, " ".join([f"g{k}", *words[k * 50 : k * 50 + 50], f"v{j}"])) for k in range(3) for j in range(60)]
+    df = spark.createDataFrame(made, "component_id long, key long, doc_id long, text string")
+    got = simhash.verified(df, scratch=Scratch(spark, "test"), most=25)
+    assert sorted(r.doc_id for r in got.collect()) == [1, 61, 121]
+
+
 def test_op9(spark, texts, odd):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     n = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)

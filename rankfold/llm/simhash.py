@@ -244,13 +244,138 @@ def overlap_groups(texts, shingle: int = 5, least: float = 0.8) -> np.ndarray:
     return group
 
 
-def verified(members: DataFrame, *, scratch: Scratch, shingle: int = 5, least: float = 0.8, most: int = 1000, most_bytes: int = 8 << 20, rounds: int = 8) -> DataFrame:
+def _sorted_hashes(batches, shingle: int):
+    for batch in batches:
+        for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+            yield key, np.unique(shingle_hashes(text.as_py(), shingle))
+
+
+def _prefixes(common, shingle: int, least: float):
+    """Arrow function: (s, key, n, pos) for the first shingles of each set in the order of (sampled count, hash)."""
+
+    def made(batches):
+        usual, count = common.value
+        for batch in batches:
+            out = [[], [], [], []]
+            for key, h in _sorted_hashes([batch], shingle):
+                n = len(h)
+                # Sets that are alike share one of their first n - ceil(least * n) + 1 in any common order; one without words has a place of its own.
+                p = n - int(np.ceil(least * n - 1e-6)) + 1
+                if not n:
+                    h = np.zeros(1, np.uint64)
+                elif len(usual):
+                    at = np.minimum(np.searchsorted(usual, h), len(usual) - 1)
+                    c = np.where(usual[at] == h, count[at], 0)
+                    h = h[np.argsort(c, kind="stable")] if c.any() else h
+                h = h[:p].view(np.int64)
+                for column, x in zip(out, (h, np.full(len(h), key), np.full(len(h), n), np.arange(len(h))), strict=True):
+                    column.append(x)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["s", "key", "n", "pos"])
+
+    return made
+
+
+def _sets(shingle: int):
+    def made(batches):
+        for key, h in _sorted_hashes(batches, shingle):
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], ["key", "held"])
+
+    return made
+
+
+def _common_shingles(texts: DataFrame, shingle: int, rows: int = 1 << 14, most: int = 1 << 16):
+    """(hashes, counts) of shingles that several of about `rows` texts hold.  They only order shingles: no result depends on them."""
+
+    def made(batches):
+        for batch in batches:
+            h = [h for _, h in _sorted_hashes([batch], shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*h, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
+
+    share = max(1, texts.count() // rows)
+    some = texts.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(share)) == 0).select("key", "text").mapInArrow(made, "s long")
+    top = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "s").limit(most).collect()
+    h, c = np.array([r.s for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, least: float, most: int = 128) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard of `least` or more.  The set of a key in many pairs is dealt out with them."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts"))
+    left = sets.join(parts, F.col("key") == F.col("a")).select("a", F.col("held").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    both = dealt.join(left, ["a", "part"]).join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
+    both = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return both.filter(F.col("both").cast("double") >= F.lit(least) * (F.col("nx") + F.col("ny") - F.col("both"))).select("a", "b")
+
+
+def alike_groups(texts: DataFrame, *, scratch: Scratch, shingle: int = 5, least: float = 0.8, hubs: int = 6, block: int = 256) -> DataFrame:
+    """(key, root) of the texts (key, text) that are alike to another, keys distinct: components of a Jaccard of `least` or more.
+
+    Exact, without candidates that depend on chance: alike sets share a shingle among their first
+    ones (prefix filter, rare ones first), and every pair of texts that do is compared, unless
+    links found before have joined the two.  So that a large group of near copies does not give
+    all its pairs, rounds that compare each list with one of its texts come first; they save work
+    only, since the last pass takes all pairs that are left, long lists in cells of two blocks.
+    """
+    small_batches(texts.sparkSession)
+    common = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
+    posts = scratch.save(texts.select("key", "text").mapInArrow(_prefixes(common, shingle, least), "s long, key long, n long, pos long"), "posts")
+    held = posts.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s")
+    shared = scratch.save(posts.join(held, "s"), "shared")
+    scratch.drop("posts")
+    sets = texts.select("key", "text").join(shared.select("key").distinct(), "key", "left_semi").mapInArrow(_sets(shingle), "key long, held array<long>")
+    sets = scratch.save(sets, "sets")
+
+    def fit(x: str, y: str):
+        """What the sizes and places of a shared shingle leave of the overlap is enough."""
+        c = lambda v, name: F.col(f"{v}.{name}")
+        rest = F.least(c(x, "pos"), c(y, "pos")) + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
+        total = c(x, "n") + c(y, "n")
+        sizes = F.least(c(x, "n"), c(y, "n")) + 1e-6 >= least * F.greatest(c(x, "n"), c(y, "n"))
+        return sizes & (rest * (1 + least) + 1e-6 >= least * total)
+
+    found = labels = None
+    for k in range(hubs + 1):
+        lists = shared.withColumn("g", F.col("key"))
+        if labels is not None:
+            lists = shared.join(labels, shared["key"] == labels["node"], "left").select(*shared.columns, F.coalesce("root", "key").alias("g"))
+        # Pairs of different groups in a list: all pairs without those inside a group.
+        several = lists.groupBy("s", "g").agg(F.count(F.lit(1)).alias("c"), F.min_by(F.struct("key", "n", "pos", "g"), F.xxhash64("key", F.lit(k))).alias("h"))
+        several = several.groupBy("s").agg(F.sum("c").alias("k"), F.sum(F.col("c") * F.col("c")).alias("own"), F.min_by("h", F.xxhash64("h.key", F.lit(k))).alias("h"), F.count(F.lit(1)).alias("groups"))
+        several = scratch.save(several.filter("groups > 1").withColumn("cross", (F.col("k") * F.col("k") - F.col("own")) / 2), f"several-{k}")
+        cross, rows = several.agg(F.sum("cross"), F.sum("k")).first()
+        if cross is None:
+            break
+        last = k == hubs or cross <= 4 * rows
+        lists = lists.join(several, "s").select("s", F.struct("key", "n", "pos", "g").alias("m"), "h", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+        if last:
+            own, every = F.pmod(F.xxhash64("m.key"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+            x = lists.select("s", F.col("m").alias("x"), own.alias("i"), every.alias("j"))
+            y = lists.select("s", F.col("m").alias("y"), every.alias("i"), own.alias("j"))
+            pairs = x.join(y, ["s", "i", "j"]).filter((F.col("x.g") < F.col("y.g")) & fit("x", "y"))
+        else:
+            pairs = lists.withColumnsRenamed({"h": "x", "m": "y"}).filter((F.col("x.g") != F.col("y.g")) & fit("x", "y"))
+        ends = F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")
+        ends = ends if last else (F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+        pairs = scratch.save(pairs.select(*ends).distinct(), f"pairs-{k}")
+        more = scratch.save(_verify(pairs, sets, least), f"links-{k}")
+        if not more.isEmpty():
+            found = more if found is None else found.unionByName(more)
+            labels = scratch.save(components(found, scratch), f"roots-{k}")
+        if last:
+            break
+    if labels is None:
+        return texts.sparkSession.createDataFrame([], "key long, root long")
+    return labels.select(F.col("node").alias("key"), "root")
+
+
+def verified(members: DataFrame, *, scratch: Scratch, shingle: int = 5, least: float = 0.8, most: int = 1000, most_bytes: int = 8 << 20) -> DataFrame:
     """(key, doc_id) of one row for each group of alike texts among `members` (component_id, key, doc_id, text), keys distinct.
 
-    Shingle sets are compared exactly inside a component.  One of more than `most` texts or
-    `most_bytes` is dealt to parts by a hash, the first rows of the parts' groups are dealt anew,
-    and so on until they fit one part, or a round finds nothing, so no task holds a large
-    component; there, a link of two rows that are not the first of their groups may go unseen.
+    Shingle sets are compared exactly inside a component, in one task where it has at most `most`
+    texts and `most_bytes`; the texts of larger ones are compared by alike_groups(), as exactly.
     The first row is the one of the least id (null ids last), then of the least key.
     """
 
@@ -258,30 +383,19 @@ def verified(members: DataFrame, *, scratch: Scratch, shingle: int = 5, least: f
         x = x.sort_values("key", ignore_index=True)
         return pd.DataFrame({"key": x["key"], "label": x["key"].to_numpy()[overlap_groups(x["text"], shingle, least)]})
 
-    done, live = None, members
-    for k in range(rounds):
-        sizes = live.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
-        sizes = sizes.select(F.col("component_id").alias("large"), "n", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / most_bytes)).alias("parts"))
-        large = scratch.save(sizes.filter("parts > 1"), f"large-{k}")
-        dealt = live.join(large, F.col("component_id").eqNullSafe(F.col("large")), "left")
-        part = F.coalesce(F.pmod(F.xxhash64("key", F.lit(k)), F.col("parts")), F.lit(0))
-        dealt = dealt.select(F.xxhash64("component_id", part).alias("part"), "key", "text")
-        labels = scratch.save(dealt.groupBy("part").applyInPandas(grouped, "key long, label long"), f"labels-{k}")
-        rows = labels.join(live.select("component_id", "key", "doc_id"), "key")
-        order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-        first = rows.groupBy("label", "component_id").agg(F.min_by(F.struct("key", "doc_id"), order).alias("f")).select("component_id", "f.key", "f.doc_id")
-        first = scratch.save(first, f"first-{k}")
-        same = F.col("component_id").eqNullSafe(F.col("large"))
-        done_now = first.join(large, same, "left_anti").select("key", "doc_id")
-        done = done_now if done is None else done.unionByName(done_now)
-        rest = first.join(large, same, "left_semi")
-        n, before = rest.count(), large.agg(F.sum("n")).first()[0]
-        if not n:
-            return done
-        if n == before or k == rounds - 1:
-            break
-        live = scratch.save(live.join(rest.select("key"), "key", "left_semi"), f"live-{k}")
-    return done.unionByName(rest.select("key", "doc_id"))
+    sizes = members.groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("bytes"))
+    large = scratch.save(sizes.filter((F.col("n") > most) | (F.col("bytes") > most_bytes)).select(F.col("component_id").alias("large")), "large")
+    same = F.col("component_id").eqNullSafe(F.col("large"))
+    small = members.join(large, same, "left_anti").select(F.xxhash64("component_id").alias("part"), "key", "text")
+    labels = small.groupBy("part").applyInPandas(grouped, "key long, label long")
+    if not large.isEmpty():
+        rest = members.join(large, same, "left_semi").select("key", "text")
+        groups = alike_groups(rest, scratch=scratch, shingle=shingle, least=least)
+        labels = labels.unionByName(rest.select("key").join(groups, "key", "left").select("key", F.coalesce("root", "key").alias("label")))
+    labels = scratch.save(labels, "labels")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    first = labels.join(members.select("key", "doc_id"), "key").groupBy("label").agg(F.min_by(F.struct("key", "doc_id"), order).alias("f"))
+    return first.select("f.key", "f.doc_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -256,6 +256,35 @@ def test_verified_deals_large_components(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 61, 121]
 
 
+def near_pairs(n, pairs, seed=5):
+    """n unalike texts of 100 words and, for the first ones, a copy with a contiguous block replaced: 0.81 to 0.86 alike."""
+    random = np.random.default_rng(seed)
+    made = [" ".join(f"u{v}" for v in random.integers(0, 5000, 100)) for _ in range(n)]
+    for k in range(pairs):
+        w, at, size = made[k].split(), int(random.integers(10, 80)), 4 if k % 2 else 6
+        w[at : at + size] = [f"e{v}" for v in random.integers(0, 10**6, size)]
+        made.append(" ".join(w))
+    return made
+
+
+def test_verified_finds_direct_pairs_of_a_large_component(spark):
+    made = near_pairs(1100, 40)
+    assert len(set(brute_overlap(made[:40] + made[1100:]))) == 40
+    df = spark.createDataFrame([(1, i, i, t) for i, t in enumerate(made)], "component_id long, key long, doc_id long, text string")
+    got = simhash.verified(df, scratch=Scratch(spark, "test"), most=100)
+    assert sorted(r.doc_id for r in got.collect()) == list(range(1100))
+
+
+@pytest.mark.parametrize(("hubs", "block"), [(6, 256), (0, 16)])
+def test_alike_groups_equal_brute_force(spark, texts, hubs, block):
+    star = " ".join(f"s{i}" for i in range(150)).split()
+    copies = [" ".join([*star[:i], f"x{i}", *star[i + 1 :]]) for i in range(0, 150, 2)]
+    made = [*list(texts.values())[:150], None, "", "one two", "One TWO", LONG, *near_pairs(40, 20), *copies]
+    df = spark.createDataFrame(list(enumerate(made)), "key long, text string")
+    got = {r.key: r.root for r in simhash.alike_groups(df, scratch=Scratch(spark, "test"), hubs=hubs, block=block).collect()}
+    assert [got.get(i, i) for i in range(len(made))] == brute_overlap(made)
+
+
 def test_op9(spark, texts, odd):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     n = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)

@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept
 DataFrame; all but the last return the columns of documents.  n_chars is kept in step with text.
 
 1. quality rules: rows that the base rules or the learned decision list reject go.
-2. SimHash near-dedup: fingerprints find candidate components; inside one, texts with 0.8 or more of their
-   five-word shingles in common (Jaccard, compared exactly) are a group, whose row of the least doc_id stays.
+2. near-dedup: texts with 0.8 or more of their five-word shingles in common (Jaccard, compared exactly) are
+   linked, and of each group of linked ones the row of the least doc_id stays.  Candidates come from an exact
+   equi-join on shingles: op8's fingerprints miss pairs with block edits at any radius that still tells texts apart.
 3. substring dedup: words of repeated 20-word windows go from all but their first place; a row that
    loses all its words goes.
 4. benchmark decontamination: rows that hold a benchmark window go.
@@ -20,11 +21,6 @@ from pyspark.sql import functions as F
 from rankfold.llm import decontaminate, mixing, quality, simhash, substrings
 from rankfold.llm.common import Scratch, table
 
-#: Near copies: fingerprints over two-word features, at most nine of 64 bits apart (0.86 alike).
-#: Pairs with 0.8 or more of their five-word shingles in common lie 5 bits apart at the median
-#: and 9 at most (measured); at four bits, as op8 has it, most of them would be missed.
-NEAR_WORDS, NEAR_BITS, NEAR_BLOCKS = 2, 9, 11
-
 
 def quality_rules(spark, docs, sf_dir):
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,18 +29,14 @@ def quality_rules(spark, docs, sf_dir):
 
 def near_dedup(spark, docs, sf_dir):
     scratch = Scratch(spark, "near-dedup")
-    keys = (F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("same"))
-    prints = scratch.save(simhash.fingerprints(docs, shingle=NEAR_WORDS, keep=keys), "prints")
-    found = simhash.near_duplicates(prints, radius=NEAR_BITS, blocks=NEAR_BLOCKS, scratch=scratch)
     # Of equal texts the row of the least id, null ids last, then of the least key.
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    texts = prints.join(found, "fp").groupBy("component_id", "same").agg(F.min_by(F.struct("key", "doc_id"), order).alias("f"))
-    texts = scratch.save(texts.select("component_id", "f.key", "f.doc_id"), "texts")
-    several = texts.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component_id").alias("c"))
-    several, same = scratch.save(several, "several"), F.col("component_id").eqNullSafe(F.col("c"))
-    held = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(texts.join(several, same, "left_semi"), "key")
-    held = scratch.save(held.dropDuplicates(["key"]), "members")
-    kept = simhash.verified(held, scratch=scratch).unionByName(texts.join(several, same, "left_anti").select("key", "doc_id"))
+    keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("same"))
+    texts = keys.groupBy("same").agg(F.min_by(F.struct("key", "doc_id"), order).alias("f")).select("f.key", "f.doc_id")
+    held = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(texts, "key").dropDuplicates(["key"])
+    # All texts are one component: no fingerprint decides which pairs are compared.
+    held = scratch.save(held.select(F.lit(0).alias("component_id"), "key", "doc_id", "text"), "members")
+    kept = simhash.verified(held, scratch=scratch)
     kept = scratch.save(kept.select(F.col("key").alias("_kept"), F.col("doc_id").alias("_id")), "kept")
     same = (F.xxhash64("doc_id", "text") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     return docs.join(kept, same).dropDuplicates(["doc_id", "_kept"]).select(*docs.columns)

@@ -284,7 +284,7 @@ def _sets(shingle: int):
     return made
 
 
-def _common_shingles(texts: DataFrame, shingle: int, rows: int = 1 << 14, most: int = 1 << 16):
+def _common_shingles(texts: DataFrame, shingle: int, scratch: Scratch, rows: int = 1 << 13, most: int = 1 << 16):
     """(hashes, counts) of shingles that several of about `rows` texts hold.  They only order shingles: no result depends on them."""
 
     def made(batches):
@@ -294,7 +294,8 @@ def _common_shingles(texts: DataFrame, shingle: int, rows: int = 1 << 14, most:
 
     share = max(1, texts.count() // rows)
     some = texts.filter(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(share)) == 0).select("key", "text").mapInArrow(made, "s long")
-    top = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").orderBy(F.desc("c"), "s").limit(most).collect()
+    top = scratch.save(some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "common")
+    top = top.orderBy(F.desc("c"), "s").limit(most).collect()
     h, c = np.array([r.s for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64)
     order = np.argsort(h)
     return h[order], c[order]
@@ -320,7 +321,7 @@ def alike_groups(texts: DataFrame, *, scratch: Scratch, shingle: int = 5, least:
     only, since the last pass takes all pairs that are left, long lists in cells of two blocks.
     """
     small_batches(texts.sparkSession)
-    common = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle))
+    common = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, shingle, scratch))
     posts = scratch.save(texts.select("key", "text").mapInArrow(_prefixes(common, shingle, least), "s long, key long, n long, pos long"), "posts")
     held = posts.groupBy("s").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("s")
     shared = scratch.save(posts.join(held, "s"), "shared")
@@ -334,9 +335,9 @@ def alike_groups(texts: DataFrame, *, scratch: Scratch, shingle: int = 5, least:
         rest = F.least(c(x, "pos"), c(y, "pos")) + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
         total = c(x, "n") + c(y, "n")
         sizes = F.least(c(x, "n"), c(y, "n")) + 1e-6 >= least * F.greatest(c(x, "n"), c(y, "n"))
-        return sizes & (rest * (1 + least) + 1e-6 >= least * total)
+        return sizes & (F.least(rest, c(x, "eff"), c(y, "eff")) * (1 + least) + 1e-6 >= least * total)
 
-    found = labels = None
+    found = labels = before = None
     for k in range(hubs + 1):
         lists = shared.withColumn("g", F.col("key"))
         if labels is not None:
@@ -348,8 +349,19 @@ def alike_groups(texts: DataFrame, *, scratch: Scratch, shingle: int = 5, least:
         cross, rows = several.agg(F.sum("cross"), F.sum("k")).first()
         if cross is None:
             break
-        last = k == hubs or cross <= 4 * rows
-        lists = lists.join(several, "s").select("s", F.struct("key", "n", "pos", "g").alias("m"), "h", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+        # Rounds end early where they save little.
+        few = cross <= 4 * rows
+        last = k == hubs or few or (before is not None and cross > 0.8 * before)
+        before = cross
+        lists = lists.join(several, "s").withColumn("eff", F.col("n"))
+        if last and not few:
+            # What is shared with none of the texts left counts for no overlap.
+            own = sets.join(lists.select("key").distinct(), "key", "left_semi").select("key", F.explode("held").alias("t"))
+            own = own.join(own.groupBy("t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("t"), "t")
+            own = scratch.save(own.groupBy("key").agg(F.count(F.lit(1)).alias("eff")), "overlaps")
+            lists = lists.drop("eff").join(own, "key", "left").withColumn("eff", F.coalesce("eff", F.lit(0)))
+            lists = lists.filter(F.col("eff") + 1e-6 >= least * F.col("n"))
+        lists = lists.select("s", F.struct("key", "n", "pos", "g", "eff").alias("m"), F.col("h").withField("eff", F.col("h.n")).alias("h"), F.ceil(F.col("k") / block).cast("int").alias("blocks"))
         if last:
             own, every = F.pmod(F.xxhash64("m.key"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
             x = lists.select("s", F.col("m").alias("x"), own.alias("i"), every.alias("j"))
@@ -361,6 +373,8 @@ def alike_groups(texts: DataFrame, *, scratch: Scratch, shingle: int = 5, least:
         ends = ends if last else (F.col("x.key").alias("a"), F.col("y.key").alias("b"))
         pairs = scratch.save(pairs.select(*ends).distinct(), f"pairs-{k}")
         more = scratch.save(_verify(pairs, sets, least), f"links-{k}")
+        for old in ("several", "pairs"):
+            scratch.drop(f"{old}-{k}")
         if not more.isEmpty():
             found = more if found is None else found.unionByName(more)
             labels = scratch.save(components(found, scratch), f"roots-{k}")

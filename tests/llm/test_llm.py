@@ -248,6 +248,36 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd):
     assert sorted(ids, key=str) == [1, 3, 5, 6, None]
 
 
+def edited_pairs(kind, level, n=60, length=300, seed=11):
+    """n pairs of Zipf-like texts, with a Jaccard of at least `level` and at most 0.03 more, by one kind of edit."""
+    random, share = np.random.default_rng([seed, *kind.encode()]), 1 / np.arange(1, 20001)
+    some, made = lambda k: [f"z{v}" for v in random.choice(20000, k, p=share / share.sum())], []
+    while len(made) < n:
+        w = some(length)
+        for k in range(1, length):
+            at, x = int(random.integers(0, length - min(k, length - 1))), list(w)
+            if kind == "appended":
+                x += some(k)
+            elif kind == "replaced":
+                x[at : at + k] = some(k)
+            else:
+                for i in random.choice(length, k, replace=False):
+                    x[i] = f"y{random.integers(0, 10**6)}"
+            a, b = ({tuple(v[i : i + 5]) for i in range(len(v) - 4)} for v in (w, x))
+            j = len(a & b) / len(a | b)
+            if j < level + 0.03:
+                if j >= level:
+                    made.append((" ".join(w), " ".join(x)))
+                break
+    return made
+
+
+def test_near_dedup_finds_block_edits(spark):
+    made = [t for kind in ("appended", "replaced", "scattered") for pair in edited_pairs(kind, 0.8) for t in pair]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()) == list(range(0, len(made), 2))
+
+
 def test_verified_deals_large_components(spark):
     words = [f"w{i}" for i in range(200)]
     made = [(1, k * 60 + j, k * 60 + j if j else None, " ".join([f"g{k}", *words[k * 50 : k * 50 + 50], f"v{j}"])) for k in range(3) for j in range(60)]

@@ -1,11 +1,11 @@
 """License scans: ordered signature rules, gated by keywords, with containment suppression.
 
 Texts are lower-cased (A-Z) and reduced to words joined by single spaces.  A rule is a regular
-expression over that form, a label, a keyword that every match of it holds, a priority and a
-confidence.  Texts without any trigger word skip the rules; the keywords of the others fetch
-their candidate rules by an equi-join with the fixed rule table, and only those are matched.  A
-detection inside a longer one, or an equal one of a higher priority, is suppressed unless its own
-priority is higher.  DataFrame operations only.
+expression over that form, a label, a keyword that every match of it holds as a whole word (itself
+or one of its forms, as gplv3 of gpl), a priority and a confidence.  Texts without any trigger word
+skip the rules; the keywords of the others fetch their candidate rules by an equi-join with the
+fixed rule table, and only those are matched.  A detection inside a longer one, or an equal one of a
+higher priority, is suppressed unless its own priority is higher.  DataFrame operations only.
 
 Defined results: a null text is empty and has no words; repeated rows get the same result; an
 empty table gives an empty result; only the named columns are read.
@@ -68,6 +68,8 @@ FAMILIES = (
     ("odbl", "database", "open database", ("1 0",)),
     ("proprietary", "proprietary", "proprietary", ()),
 )
+#: Other words that a match may hold instead of its keyword.
+FORMS = {"gplv1": "gpl", "gplv2": "gpl", "gplv3": "gpl", "lgplv2": "lgpl", "lgplv3": "lgpl", "agplv3": "agpl"}
 # Wordings around a family's name: regular expression, priority, confidence.
 WORDINGS = (
     (r"(?:dual )?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version)?(?: {version})?", 3, 0.99),
@@ -116,11 +118,15 @@ def detections(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
     """doc_id, text_hash, rule_id, label, priority, confidence, start, stop (words): what survives suppression."""
     spark = docs.sparkSession
     table_ = spark.createDataFrame(rules(), "rule_id int, label string, keyword string, regex string, priority int, confidence double")
-    keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in rules()})])
+    keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in rules()} | set(FORMS))])
+    forms = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
     gated = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), normalised(F.col(text_col)).alias("norm"))
     # One reference to `norm`: the filter is pushed below the projection, with a copy of it for each.
     gated = gated.filter(F.regexp_like("norm", F.lit(f" (?:{'|'.join(TRIGGERS)}) "))).withColumn("row", F.monotonically_increasing_id())
-    gated = gated.withColumn("keyword", F.explode_outer(F.array_intersect(F.split("norm", " "), keywords))).filter("keyword is not null")
+    gated = gated.withColumn("held", F.array_intersect(F.split("norm", " "), keywords))
+    # A text with several forms of a keyword tries its rules once.
+    held = F.array_distinct(F.transform("held", lambda k: F.coalesce(forms[k], k)))
+    gated = gated.withColumn("keyword", F.explode_outer(held)).drop("held").filter("keyword is not null")
     # The rule table is fixed in this file, some hundred short rows, so it may be broadcast.
     tried = gated.join(F.broadcast(table_), "keyword").filter(F.regexp_like("norm", F.col("regex")))
     both = F.arrays_zip(

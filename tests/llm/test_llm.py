@@ -164,6 +164,44 @@ def test_op7(spark, texts, odd):
     assert licenses.scan_licenses(odd).count() == len(ODD)
 
 
+def spelled(parts):
+    """Every string of a parsed expression of literals, sets, groups, choices and optional parts."""
+    out = [""]
+    for op, arg in parts:
+        kind = str(op)
+        if kind in ("ASSERT", "ASSERT_NOT"):
+            continue
+        if kind == "LITERAL":
+            more = [chr(arg)]
+        elif kind == "IN":
+            more = [chr(c) for o, v in arg for c in (range(v[0], v[1] + 1) if str(o) == "RANGE" else [v])]
+        elif kind == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif kind == "BRANCH":
+            more = [x for branch in arg[1] for x in spelled(branch)]
+        else:
+            assert kind == "MAX_REPEAT" and arg[:2] == (0, 1)
+            more = ["", *spelled(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_op7_every_match_holds_its_keyword():
+    for _, _, keyword, regex, _, _ in licenses.rules():
+        forms = {keyword, *(f for f, k in licenses.FORMS.items() if k == keyword)}
+        for match in spelled(re._parser.parse(regex)):
+            words = set(match.split())
+            assert words & forms and words & set(licenses.TRIGGERS), match
+
+
+def test_op7_forms_of_keywords(spark):
+    said = {1: ("licensed under GPLv3", "gpl"), 2: ("released under the LGPLv2.1", "lgpl"), 3: ("AGPLv3 license", "agpl"), 4: ("GPL license, GPLv2 license and gplv3 license", "gpl")}
+    df = spark.createDataFrame([(i, t) for i, (t, _) in said.items()], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan_licenses(df).collect()} == {i: x for i, (_, x) in said.items()}
+    found = [tuple(r) for r in licenses.detections(df.filter("doc_id = 4")).select("rule_id", "start", "stop").collect()]
+    assert found and len(found) == len(set(found))
+
+
 def brute_components(fp, radius=4):
     ids = sorted(fp)
     x = np.array([fp[i] for i in ids], np.int64).view(np.uint64)

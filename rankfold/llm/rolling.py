@@ -1,8 +1,9 @@
-"""Vectorised words and polynomial window hashes over the bytes of Arrow string columns.
+"""Vectorised words and window hashes over the bytes of Arrow string columns.
 
-Texts stay in their Arrow buffer: words are found with byte masks, and a word's or a window's hash
-is a difference of prefix sums, sum(value * BASE ** i) modulo 2 ** 64, rescaled to its start and
-mixed.  No Python object is made for a word.
+Texts stay in their Arrow buffer: words are found with byte masks, distinct words of a slice are
+hashed by XXH3 (128 bits), and a window's hash chains the hashes of its words through a non-linear
+mixing step, so that no algebraic relation between words carries over to windows.  No Python
+object is made for a word that was seen before in its slice.
 """
 
 from __future__ import annotations
@@ -11,45 +12,38 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+
+from .common import LOWER, UPPER
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-class Family:
-    """One hash function: random values of bytes, a base and the powers of it made so far."""
-
-    def __init__(self, seed: int):
-        random = np.random.Generator(np.random.PCG64(seed))
-        self.values = random.integers(0, 1 << 64, 256, U64, endpoint=False)
-        self.bases = {k: int(random.integers(0, 1 << 61)) * 8 + 5 for k in ("byte", "word")}
-        self.powers: dict = {}
-
-    def scale(self, kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-        held = self.powers.get(kind)
-        if held is None or len(held[0]) < n:
-            base, made = self.bases[kind], []
-            for b in (base, pow(base, -1, 1 << 64)):
-                steps = np.full(max(n, 1 << 16), b, U64)
-                steps[0] = 1
-                made.append(np.cumprod(steps, dtype=U64))
-            held = self.powers[kind] = tuple(made)
-        return held[0][:n], held[1][:n]
-
-    def spans(self, kind: str, values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        up, down = self.scale(kind, len(values) + 1)
-        prefix = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * up[:-1], out=prefix[1:])
-        return mix((prefix[stops] - prefix[starts]) * down[starts])
+LOWERED = np.frombuffer(bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode())), np.uint8)
+#: Bytes of text that a worker handles at a time; its arrays take about 60 bytes for each.
+SLICE = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers."""
     h = (h ^ (h >> U64(31))) * U64(0x7FB5D329728EA185)
     h = (h ^ (h >> U64(27))) * U64(0x81DADEF4BC2DD44D)
     return h ^ (h >> U64(33))
 
 
+def chain(ids: np.ndarray, width: int) -> np.ndarray:
+    """A hash for every run of `width` ids."""
+    n = len(ids) - width + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    h = ids[:n].copy()
+    for k in range(1, width):
+        h ^= h >> U64(29)
+        h *= U64(0xBF58476D1CE4E5B9)
+        h += ids[k : k + n]
+    return mix(h)
+
+
 def sliding(h: np.ndarray, width: int, what) -> np.ndarray:
     """what (np.minimum or np.maximum) over each window of `width`, in about log2(width) steps."""
     out, have = h, 1
@@ -59,11 +53,15 @@ def sliding(h: np.ndarray, width: int, what) -> np.ndarray:
     return out
 
 
-def text_slices(column: pa.Array, most: int):
-    """(first row, bytes, offsets) of runs of rows with about `most` bytes; a longer text runs alone."""
+def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a string column."""
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
-    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
+def text_slices(column: pa.Array, most: int = SLICE):
+    """(first row, bytes, offsets) of runs of rows with about `most` bytes; a longer text runs alone."""
+    data, offsets = column_bytes(column)
     row = 0
     while row < len(column):
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
@@ -72,6 +70,39 @@ def text_slices(column: pa.Array, most: int):
         row = stop
 
 
+def word_slices(column: pa.Array, width: int, most: int = SLICE, lower: bool = False):
+    """(first row, words, skipped) of text_slices(), but a text longer than `most` comes in pieces.
+
+    Pieces overlap by width - 1 words, so each window of `width` is in exactly one; `skipped` is the
+    number of words of the text before the piece.
+    """
+    for row, data, offsets in text_slices(column, most):
+        if lower:
+            data = LOWERED[data]
+        if len(data) <= most:
+            yield row, find_words(data, offsets), 0
+            continue
+        at, size, skipped = 0, most, 0
+        while True:
+            stop = at + size
+            if stop < len(data):  # up to the end of the word that is cut
+                gap = np.flatnonzero(SPACE[data[stop : stop + most]])
+                while not len(gap) and stop + most < len(data):
+                    stop += most
+                    gap = np.flatnonzero(SPACE[data[stop : stop + most]])
+                stop = stop + int(gap[0]) if len(gap) else len(data)
+            part = data[at : min(stop, len(data))]
+            words = find_words(part, np.array([0, len(part)]))
+            if stop < len(data) and len(words.starts) < width:
+                size *= 2  # few, long words: take more of the text
+                continue
+            yield row, words, skipped
+            if stop >= len(data):
+                break
+            skipped += len(words.starts) - (width - 1)
+            at, size = at + (int(words.starts[1 - width]) if width > 1 else len(part)), most
+
+
 @dataclass
 class Words:
     starts: np.ndarray  # bytes
@@ -81,19 +112,22 @@ class Words:
     first: np.ndarray  # index of each row's first word
     data: np.ndarray
 
-    def hashes(self, family: Family) -> np.ndarray:
-        return family.spans("byte", family.values[self.data], self.starts, self.stops)
-
-    def windows(self, family: Family, hashes: np.ndarray, width: int) -> np.ndarray:
-        """A hash for every start of `width` words in the slice, also those that leave their row."""
-        n = len(hashes) - width + 1
-        if n <= 0:
-            return np.zeros(0, U64)
-        at = np.arange(n)
-        return family.spans("word", hashes, at, at + width)
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of every word, the halves of its XXH3."""
+        n = len(self.starts)
+        if not n:
+            return np.zeros(0, U64), np.zeros(0, U64)
+        solid = self.data[~SPACE[self.data]]
+        offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(self.stops - self.starts, out=offsets[1:])
+        held = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
+        digest = xxhash.xxh3_128_digest
+        known = np.frombuffer(b"".join([digest(w) for w in held.dictionary.to_pylist()]), U64).reshape(-1, 2)
+        at = held.indices.to_numpy()
+        return known[at, 0], known[at, 1]
 
     def inside(self, width: int) -> np.ndarray:
-        """For every such start, whether the window stays in its row."""
+        """For every start of `width` words in the slice, whether the window stays in its row."""
         n = max(0, len(self.starts) - width + 1)
         return self.doc[:n] == self.doc[width - 1 : width - 1 + n]
 
@@ -112,3 +146,24 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     doc = np.searchsorted(offsets[1:], starts, "right")
     counts = np.bincount(doc, minlength=len(offsets) - 1)
     return Words(starts, stops, doc, counts, np.cumsum(counts) - counts, data)
+
+
+def shingle_sets(column: pa.Array, shingle: int, most: int = SLICE):
+    """For each text, in order, the sorted distinct hashes of its runs of `shingle` words, A-Z lower-cased.
+
+    A text of fewer words, but not none, has one: that of the whole.
+    """
+    parts: list = []
+    for _, words, skipped in word_slices(column, shingle, most, lower=True):
+        ids = words.hashes()[0]
+        runs = chain(ids, shingle)
+        for k, (first, n) in enumerate(zip(words.first.tolist(), words.counts.tolist(), strict=True)):
+            own = np.unique(runs[first : first + n - shingle + 1]) if n > shingle else chain(ids[first : first + n], max(1, n))
+            if skipped and not k:
+                parts.append(own)  # a further piece of the text before
+                continue
+            if parts:
+                yield np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            parts = [own]
+    if parts:
+        yield np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]

@@ -7,19 +7,20 @@ Each batch of documents is reduced to winnowed fingerprints: every position whos
 is the least of some window, so that equal windows always share a fingerprint.  They become one
 run of the index: rows (fp, rk, m) - fingerprint, row key, times in the row - sorted by
 fingerprint and never changed.  A batch's run is merge-joined with the runs before it; only
-windows around fingerprints that occur twice or more are hashed in full (64 bits, and 32 of a
-second function that verify them), and the first of equal ones stays.  When more than `fanout` runs
-have piled up, they are compacted into one.
+windows around fingerprints that occur twice or more are hashed in full (64 bits, and 64 more from
+other halves of the words' hashes that verify them), and the first of equal ones stays.  When more
+than `fanout` runs have piled up, they are compacted into one.
 
 Windows are dealt to shards by their fingerprint, so that the repeats around one come back as one
-span; those of a fingerprint with very many rows are dealt by their own hashes.  In runs, such a
-fingerprint is range-partitioned with the row key.  Equal windows are reduced to their first one in
-every slice of a map task before any shuffle.
+span.  Those of a hot fingerprint, one with HOT occurrences or more, are dealt by their own hashes
+and a number of their slice of text first; the first ones of equals in such a salted shard meet in
+a second round.  In runs, a hot fingerprint is range-partitioned with the row key.  Equal windows
+are reduced to their first one in every slice of a map task before any shuffle.
 
 Defined results: a null text has no words; null ids sort first; rows with equal id and text are one
 document and get the same result; rows with equal id and different texts are ordered by a hash;
-empty tables give empty results; only the named columns are read.  A text is held whole in memory:
-about 60 bytes of a worker's memory for each byte of the longest one.
+empty tables give empty results; only the named columns are read.  Hashing takes a long text in
+overlapping pieces of SLICE bytes; the words that stay are cut from the whole text, as its list.
 """
 
 from __future__ import annotations
@@ -34,16 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, small_batches, spread, table
-from .rolling import Family, find_words, mix, sliding, text_slices
+from .rolling import chain, mix, sliding, word_slices
 
 NO_ID = -(1 << 63)
-#: Bytes of text that a worker handles at a time; its arrays take about 60 bytes for each.
-SLICE = 1 << 19
-FIRST, SECOND = Family(20), Family(21)
 PAYLOAD = "shard int, docs binary, rks binary, fresh binary, firsts binary, h binary, c binary, at binary"
 MARKS = "doc long, rk long, span long"  # span: first start << 32 | number of starts
-#: Rows from which on a fingerprint's windows are dealt by their own hashes.
-HOT = 4096
+#: Occurrences from which on a fingerprint's windows are dealt by their own hashes, to so many salted shards each.
+HOT, SALTS = 4096, 16
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -55,9 +53,9 @@ def unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def anchors(words, hashes, width: int, gram: int):
+def anchors(words, ids, width: int, gram: int):
     """(anchor hash of each window start, whether the window is whole, gram hashes, selected grams)."""
-    grams = words.windows(FIRST, hashes, gram)
+    grams = chain(ids, gram)
     whole = words.inside(width)
     least = sliding(grams, width - gram + 1, np.minimum)[: len(whole)]
     held = np.where(whole, least, np.uint64(0))
@@ -73,11 +71,10 @@ def fingerprints(docs: DataFrame, width: int, gram: int) -> DataFrame:
     def made(batches):
         for batch in batches:
             rk = batch.column("rk").to_numpy()
-            for row, data, offsets in text_slices(batch.column("text"), SLICE):
-                words = find_words(data, offsets)
+            for row, words, _ in word_slices(batch.column("text"), width):
                 if len(words.starts) < width:
                     continue
-                _, _, grams, selected = anchors(words, words.hashes(FIRST), width, gram)
+                _, _, grams, selected = anchors(words, words.hashes()[0], width, gram)
                 at = np.flatnonzero(selected)
                 fp, doc = grams[at].view(np.int64), words.doc[at]
                 order = np.lexsort((fp, doc))
@@ -99,23 +96,23 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
     """
 
     def made(batches):
+        slices = 0
         for batch in batches:
             doc, rk, fresh = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "rk", "fresh"))
             fps, hot = batch.column("fps"), batch.column("hot")
-            for row, data, offsets in text_slices(batch.column("text"), SLICE):
-                words = find_words(data, offsets)
+            for row, words, skipped in word_slices(batch.column("text"), width):
                 if len(words.starts) < width:
                     continue
-                stop = row + len(offsets) - 1
-                hashes = words.hashes(FIRST)
-                least, whole, _, _ = anchors(words, hashes, width, gram)
+                stop, slices = row + len(words.counts), slices + 1
+                ids, more = words.hashes()
+                first = words.first - skipped
+                least, whole, _, _ = anchors(words, ids, width, gram)
                 # A pair of row and fingerprint as one number: a collision only adds a candidate.
                 mine = least ^ _salt(words.doc[: len(least)])
                 at = np.flatnonzero(whole & _among(mine, fps.slice(row, stop - row)))
                 if not len(at):
                     continue
-                h = words.windows(FIRST, hashes, width)[at]
-                c = (words.windows(SECOND, words.hashes(SECOND), width)[at] >> np.uint64(32)).astype(np.uint32)
+                h, c = chain(ids, width)[at], chain(more, width)[at]
                 d = words.doc[at]
                 # Rows of the slice in the order of documents, then positions.
                 place = np.empty(stop - row, np.int64)
@@ -124,10 +121,10 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
                 h, c, d, at = h[order], c[order], d[order], at[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-                again = (doc[row + d] != doc[row + d[lead]]) | (rk[row + d] != rk[row + d[lead]]) | (at - words.first[d] != at[lead] - words.first[d[lead]])
+                again = (doc[row + d] != doc[row + d[lead]]) | (rk[row + d] != rk[row + d[lead]]) | (at - first[d] != at[lead] - first[d[lead]])
                 again &= fresh[row + d]
                 if again.any():
-                    da, pa_ = d[again], (at - words.first[d])[again]
+                    da, pa_ = d[again], (at - first[d])[again]
                     o = np.lexsort((pa_, da))
                     da, pa_ = da[o], pa_[o]
                     cut = np.flatnonzero(np.concatenate([[True], da[1:] != da[:-1]]))
@@ -135,14 +132,17 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
                         x = row + da[a]
                         yield _mark(int(rk[x]) % shards, doc[x], rk[x], pa_[a:b])
                 h, c, at = h[new], c[new], at[new]
-                by = np.where(np.isin(least[at].view(np.int64), np.unique(hot.slice(row, stop - row).flatten().to_numpy())), h, mix(least[at] ^ np.uint64(1)))
+                salted = np.isin(least[at].view(np.int64), np.unique(hot.slice(row, stop - row).flatten().to_numpy()))
+                by = np.where(salted, h, mix(least[at] ^ np.uint64(1)))
                 shard = ((by >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+                # Salted shards are numbered after the others.
+                shard = np.where(salted, shards + shard * SALTS + int(rk[row] + slices) % SALTS, shard)
                 order = np.argsort(shard, kind="stable")
                 h, c, at, shard = h[order], c[order], at[order], shard[order]
                 bounds = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
                 for a, b in zip(bounds, np.append(bounds[1:], len(shard)), strict=True):
                     use = np.unique(words.doc[at[a:b]])
-                    tables = (doc[row + use].tobytes(), rk[row + use].tobytes(), fresh[row + use].astype(np.uint8).tobytes(), words.first[use].astype(np.int64).tobytes())
+                    tables = (doc[row + use].tobytes(), rk[row + use].tobytes(), fresh[row + use].astype(np.uint8).tobytes(), first[use].astype(np.int64).tobytes())
                     yield _payload(int(shard[a]), *tables, h[a:b].tobytes(), c[a:b].tobytes(), planes(at[a:b]))
 
     return docs.select("doc", "rk", "fresh", "text", "fps", "hot").mapInArrow(made, PAYLOAD)
@@ -174,33 +174,70 @@ def _mark(shard: int, doc, rk, at: np.ndarray) -> pa.RecordBatch:
     return _payload(shard, np.int64(doc).tobytes(), np.int64(rk).tobytes(), b"", b"", b"", b"", planes(at))
 
 
-def _later(group: pa.Table) -> pa.Table:
-    """The MARKS of one shard: windows in fresh rows that are not the first of their equals."""
+def _spans(marks: list) -> pa.Table:
+    """MARKS of (doc, rk, start) arrays: starts one after the other in a row are one span."""
+    doc, rk, at = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((at, rk, doc))
+    doc, rk, at = doc[order], rk[order], at[order]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1]) | (at[1:] > at[:-1] + 1)])) if len(at) else order
+    n = at[np.append(new[1:], len(at)) - 1] - at[new] + 1 if len(at) else at
+    return pa.table({"doc": pa.array(doc[new]), "rk": pa.array(rk[new]), "span": pa.array((at[new] << 32) | n)})
+
+
+def _first_round(shards: int):
+    """MARKS of one shard, and of a salted one the firsts of equals as rows of the shard that they meet in."""
+
+    def made(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        marks, firsts = _later(group)
+        out, number = _spans(marks), key[0].as_py()
+        n = out.num_rows
+        rows = [out.append_column("shard", pa.nulls(n, pa.int32()))]
+        for name in _TYPES.names[1:]:
+            rows[0] = rows[0].append_column(name, pa.nulls(n, pa.binary()))
+        if number >= shards and firsts is not None:
+            h, c, doc, rk, at, fresh = firsts
+            order = np.lexsort((at, rk, doc))
+            h, c, doc, rk, at, fresh = (x[order] for x in (h, c, doc, rk, at, fresh))
+            # Rows of documents become tables of their places, as candidate_windows() makes them.
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1])]))
+            size = np.maximum.reduceat(at, new) + 1
+            base = np.cumsum(size) - size
+            place = at + np.repeat(base, np.diff(np.append(new, len(at))))
+            values = (doc[new].tobytes(), rk[new].tobytes(), fresh[new].astype(np.uint8).tobytes(), base.astype(np.int64).tobytes(), h.tobytes(), c.tobytes(), place.astype(np.int64).tobytes())
+            none = pa.nulls(1, pa.int64())
+            row = [none, none, none, pa.array([(number - shards) // SALTS], pa.int32()), *(pa.array([v], pa.binary()) for v in values)]
+            rows.append(pa.Table.from_arrays(row, rows[0].column_names))
+        return pa.concat_tables(rows)
+
+    return made
+
+
+def _second_round(group: pa.Table) -> pa.Table:
+    return _spans(_later(group, np.int64)[0])
+
+
+def _later(group: pa.Table, places=None):
+    """((doc, rk, start) arrays of windows in fresh rows that are not the first of their equals, the firsts)."""
     parts, marks = [], []
     for r in group.to_pylist():
-        at = unplanes(r["at"]).astype(np.int64)
+        at = np.frombuffer(r["at"], places) if places else unplanes(r["at"]).astype(np.int64)
         docs, rks = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["rks"], np.int64)
         if not r["h"]:
             marks.append((np.repeat(docs, len(at)), np.repeat(rks, len(at)), at))
             continue
         firsts, fresh = np.frombuffer(r["firsts"], np.int64), np.frombuffer(r["fresh"], np.uint8)
         d = np.searchsorted(firsts, at, "right") - 1
-        parts.append((np.frombuffer(r["h"], np.uint64), np.frombuffer(r["c"], np.uint32), docs[d], rks[d], at - firsts[d], fresh[d]))
-    if parts:
-        h, c, doc, rk, at, fresh = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, rk, doc, c, h))
-        h, c, doc, rk, at, fresh = (x[order] for x in (h, c, doc, rk, at, fresh))
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        again = ((doc != doc[lead]) | (rk != rk[lead]) | (at != at[lead])) & (fresh > 0)
-        marks.append((doc[again], rk[again], at[again]))
-    doc, rk, at = (np.concatenate(x) for x in zip(*marks, strict=True)) if marks else (np.zeros(0, np.int64),) * 3
-    order = np.lexsort((at, rk, doc))
-    doc, rk, at = doc[order], rk[order], at[order]
-    # Starts one after the other in a row are one span.
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1]) | (at[1:] > at[:-1] + 1)])) if len(at) else order
-    n = at[np.append(new[1:], len(at)) - 1] - at[new] + 1 if len(at) else at
-    return pa.table({"doc": pa.array(doc[new]), "rk": pa.array(rk[new]), "span": pa.array((at[new] << 32) | n)})
+        parts.append((np.frombuffer(r["h"], np.uint64), np.frombuffer(r["c"], np.uint64), docs[d], rks[d], at - firsts[d], fresh[d]))
+    if not parts:
+        return marks, None
+    h, c, doc, rk, at, fresh = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((at, rk, doc, c, h))
+    h, c, doc, rk, at, fresh = (x[order] for x in (h, c, doc, rk, at, fresh))
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+    again = ((doc != doc[lead]) | (rk != rk[lead]) | (at != at[lead])) & (fresh > 0)
+    marks.append((doc[again], rk[again], at[again]))
+    return marks, tuple(x[new] for x in (h, c, doc, rk, at, fresh))
 
 
 @dataclass
@@ -259,7 +296,10 @@ class Index:
         size = batch.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         shards = 1 + int(size) // self.shard_bytes
         payload = candidate_windows(docs.join(held, "rk"), self.width, self.gram, shards)
-        self.marks.append(self.scratch.save(payload.groupBy("shard").applyInArrow(_later, MARKS), f"marks-{k}"))
+        both = payload.groupBy("shard").applyInArrow(_first_round(shards), f"{MARKS}, {PAYLOAD}")
+        both = self.scratch.save(both, f"marks-{k}")
+        met = both.filter("shard is not null").select(*_TYPES.names).groupBy("shard").applyInArrow(_second_round, MARKS)
+        self.marks.append(both.filter("shard is null").select("doc", "rk", "span").unionByName(self.scratch.save(met, f"met-{k}")))
         self.scratch.drop(f"held-{k}")
         self.runs.append((name, run))
 

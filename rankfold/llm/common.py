@@ -45,6 +45,26 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of a few numbers up to which sized() sends a table to all executors: 48 MB at 96 bytes a row.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, of `rows` rows of a few numbers each, to be broadcast where that is few; else joins shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has, whatever its case."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python workers in batches of at most `rows` for the rest of the session: it bounds their memory."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

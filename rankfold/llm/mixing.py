@@ -1,13 +1,17 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Every source is a shuffled stream of words cut into blocks of `block_words`.  Slot k of the mix
-maps the golden-ratio point frac(k / phi) through the cumulative target weights to a source; the
-slots of a source are ranked, and rank r takes block r modulo the source's number of blocks, so
-that a source with a target above its size starts a second epoch.  DataFrame operations only.
+Every source is a shuffled stream of words that starts again at its end, up to `most` times, and
+stops at its target; it is cut into blocks of `block_words`, which run on over the end of an epoch,
+so only the last block of a source may be shorter.  Slot k of the mix maps the golden-ratio point
+frac(k / phi) through the cumulative numbers of blocks to a source; the slots of a source are
+ranked, and rank r takes block r.  Points go on until each source has all its blocks, so that every
+source gets the whole words of its target exactly, however small it is.  DataFrame operations only.
 
 Defined results: null text has size 0; null source is a source of its own, last in the order;
 a source without words has target 0; repeated rows are mixed as separate documents; an empty
-table gives an empty result.  Only the named columns are read, so others may clash freely.
+table gives an empty result.  Only the named columns are read, so others may clash freely, except
+that `keep` must not name a column of the result.  Sources are expected to be few: their targets
+and running sums are windows over one row each.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, Scratch, table
 
-#: A multiplicative generator of golden-ratio points: k * STEP mod PERIOD, STEP / PERIOD = 1 / phi.
-PERIOD, STEP = 2147483647, 1327217885
+#: The golden ratio's fraction in 52 bits, as two halves of 26, so that products stay below 2^63.
+BITS = 26
+STEP_HIGH, STEP_LOW = divmod(round(0.6180339887498949 * (1 << 2 * BITS)), 1 << BITS)
+#: Points for each slot that is needed: by the three-distance theorem n points leave no gap above 1.9 / n.
+POINTS = 2
 #: Grid cells that turn the search in the cumulative weights into an equi-join.
 CELLS = 4096
 #: Slots ranked by one window; the offsets of runs come from their counts.
@@ -29,12 +36,25 @@ RUN = 1 << 16
 
 @dataclass
 class Mix:
-    documents: DataFrame  # sid, bucket, rn (identify a row), doc_id, size, source_size, target
-    sources: DataFrame  # sid, source, source_size, target, n_blocks
-    slots: DataFrame  # slot, sid, epoch, block
+    documents: DataFrame  # sid, bucket, rn (identify a row), key (see row_key()), doc_id, size, source_size, target
+    sources: DataFrame  # sid, source, source_size, target, quota (whole words of it), n_blocks
+    slots: DataFrame  # slot, sid, block
     pieces: DataFrame  # slot, epoch, sid, bucket, rn, doc_id, start_word, n_words
 
 
+def golden_point(k):
+    """frac(k / phi) of a long column, in 52 bits."""
+    low, half = F.lit((1 << BITS) - 1), F.lit(1 << BITS)
+    kl, kh = k.bitwiseAND(low), F.shiftright(k, BITS)
+    top = (kl * STEP_HIGH + kh * STEP_LOW).bitwiseAND(low)
+    return (top * half + kl * STEP_LOW).bitwiseAND(F.lit((1 << 2 * BITS) - 1)) / F.lit(float(1 << 2 * BITS))
+
+
+def row_key(seed: int, doc_id, text):
+    """A hash of a row; repeated rows share it."""
+    return F.xxhash64(F.lit(seed), doc_id, text)
+
+
 def source_targets(sizes: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets for `sizes` (source, source_size, n_docs).
 
@@ -69,7 +89,7 @@ def mix_sources(
     share: float = 1.5,
     most: int = 2,
     block_words: int = 128,
-    docs_per_bucket: int = 20_000,
+    docs_per_bucket: int = 2_000,
     seed: int = 17,
     keep=(),
     scratch: Scratch | None = None,
@@ -85,42 +105,40 @@ def mix_sources(
         F.col(source_col).alias("source"),
         *keep,
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("key"),
+        row_key(seed, F.col(id_col), F.col(text_col)).alias("key"),
     )
     sized = scratch.save(sized, "sized")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = source_targets(sizes, weights, share, float(most))
-    sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    # A target that rounding left just below a whole number is that number.
+    sources = sources.withColumn("quota", F.floor(F.col("target") + 1e-6).cast("long"))
+    sources = sources.withColumn("n_blocks", F.ceil(F.col("quota") / block_words).cast("long"))
     sources = scratch.save(sources.coalesce(1), "sources")
-    total, n_docs = sources.agg(F.sum("target"), F.sum("n_docs")).first()
-    n_slots = -int(-(total or 0.0) // block_words)
+    n_slots, n_docs = sources.agg(F.sum("n_blocks"), F.sum("n_docs")).first()
     n_buckets = max(1, -(-(n_docs or 0) // docs_per_bucket))
 
     # Slots: point -> grid cell -> source, then the rank in the source.
-    high = F.sum("target").over(Window.orderBy("sid")) / F.sum("target").over(Window.partitionBy())
-    cells = sources.filter("target > 0").withColumn("high", high)
+    high = F.sum("n_blocks").over(Window.orderBy("sid")) / F.sum("n_blocks").over(Window.partitionBy())
+    cells = sources.filter("n_blocks > 0").withColumn("high", high)
     cells = cells.withColumn("low", F.lag("high", 1, 0.0).over(Window.orderBy("sid")))
-    cells = cells.withColumn("high", F.when(F.lead("high").over(Window.orderBy("sid")).isNull(), 1.0).otherwise(F.col("high")))
     cells = cells.select(
         "sid", "n_blocks", "low", "high",
         F.explode(F.sequence(F.floor(F.col("low") * CELLS), F.least(F.floor(F.col("high") * CELLS), F.lit(CELLS - 1)))).alias("cell"),
     )
-    point = (F.col("id") % PERIOD * STEP % PERIOD) / F.lit(float(PERIOD))
-    slots = spark.range(n_slots).select(F.col("id").alias("slot"), point.alias("u"))
-    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS)).join(cells, "cell")
+    slots = spark.range(POINTS * (n_slots or 0) + (64 if n_slots else 0)).select(F.col("id").alias("slot"), golden_point(F.col("id")).alias("u"))
+    slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS)).join(F.broadcast(cells), "cell")
     slots = slots.filter("u >= low and u < high").select("slot", "sid", "n_blocks", F.floor(F.col("slot") / RUN).alias("run"))
+    slots = scratch.save(slots, "slots")
     runs = slots.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("sid", "run", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1
-    slots = slots.withColumn("in_run", rank).join(runs, ["sid", "run"]).withColumn("rank", F.col("in_run") + F.col("base"))
-    # A rank past the last allowed epoch has no block: the discrepancy of the points must not overuse a source.
-    slots = slots.filter(F.col("rank") < most * F.col("n_blocks"))
-    slots = slots.select("slot", "sid", F.floor(F.col("rank") / F.col("n_blocks")).alias("epoch"), (F.col("rank") % F.col("n_blocks")).alias("block"))
+    slots = slots.withColumn("in_run", rank).join(runs, ["sid", "run"]).withColumn("block", F.col("in_run") + F.col("base"))
+    slots = slots.filter(F.col("block") < F.col("n_blocks")).select("slot", "sid", "block")
 
     # Documents: word offsets in the shuffled stream of their source, by a two-level prefix sum.
-    placed = sized.join(sources.select("sid", "source_size", "target", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
-    placed = placed.select("sid", "doc_id", "source", *keep, "size", "source_size", "target", "key", F.pmod("key", F.lit(n_buckets)).alias("bucket"))
+    placed = sized.join(sources.select("sid", "source_size", "target", "quota", F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")))
+    placed = placed.select("sid", "doc_id", "source", *keep, "size", "source_size", "target", "quota", "key", F.pmod("key", F.lit(n_buckets)).alias("bucket"))
     inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size")
     placed = placed.withColumn("rn", F.row_number().over(inside))
     placed = placed.withColumn("before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
@@ -128,15 +146,18 @@ def mix_sources(
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("sid", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     placed = placed.join(buckets, ["sid", "bucket"]).withColumn("first", F.col("base") + F.col("before"))
-    placed = scratch.save(placed.drop("base", "before", "key"), "placed")
+    placed = scratch.save(placed.drop("base", "before"), "placed")
+    # A document has a place in every epoch that begins before its source's quota is filled.
     cut = placed.filter("size > 0").select(
-        "sid", "bucket", "rn", "doc_id", "size", "first",
-        F.explode(F.sequence(F.floor(F.col("first") / block_words), F.floor((F.col("first") + F.col("size") - 1) / block_words))).alias("block"),
-    )
-    start = F.greatest(F.col("block") * block_words - F.col("first"), F.lit(0))
-    stop = F.least((F.col("block") + 1) * block_words - F.col("first"), F.col("size"))
+        "sid", "bucket", "rn", "doc_id", "size", "quota", F.col("first"), F.col("source_size"), F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("epoch")
+    )
+    cut = cut.withColumn("begin", F.col("first") + F.col("epoch") * F.col("source_size")).filter("begin < quota")
+    cut = cut.withColumn("end", F.least(F.col("begin") + F.col("size"), F.col("quota")))
+    cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("begin") / block_words), F.floor((F.col("end") - 1) / block_words))))
+    start = F.greatest(F.col("block") * block_words, F.col("begin"))
+    stop = F.least((F.col("block") + 1) * block_words, F.col("end"))
     pieces = cut.join(slots, ["sid", "block"]).select(
-        "slot", "epoch", "sid", "bucket", "rn", "doc_id", start.alias("start_word"), (stop - start).alias("n_words")
+        "slot", "epoch", "sid", "bucket", "rn", "doc_id", (start - F.col("begin")).alias("start_word"), (stop - start).alias("n_words")
     )
     return Mix(placed, sources, slots, pieces)
 

@@ -2,10 +2,12 @@
 
 Texts are lower-cased (A-Z) and reduced to words joined by single spaces.  A rule is a regular
 expression over that form, a label, a keyword that every match of it holds as a whole word (itself
-or one of its forms, as gplv3 of gpl), a priority and a confidence.  Texts without any trigger word
-skip the rules; the keywords of the others fetch their candidate rules by an equi-join with the
-fixed rule table, and only those are matched.  A detection inside a longer one, or an equal one of a
-higher priority, is suppressed unless its own priority is higher.  DataFrame operations only.
+or one of its forms, as gplv3 of gpl), a priority and a confidence.  Some rules are signatures of
+license texts and headers, others the wordings that name a family of licenses.  Texts that hold no
+trigger in any letters skip the rules before they are normalised; the keywords of the others fetch
+their candidate rules by an equi-join with the fixed rule table, and only those are matched.  A
+detection inside a longer one, or an equal one of a higher priority, is suppressed unless its own
+priority is higher.  DataFrame operations only.
 
 Defined results: a null text is empty and has no words; repeated rows get the same result; an
 empty table gives an empty result; only the named columns are read.
@@ -75,33 +77,92 @@ WORDINGS = (
     (r"(?:dual )?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version)?(?: {version})?", 3, 0.99),
     (r"(?:released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version)?(?: {version})?", 3, 0.97),
     (r"spdx licen[sc]e identifier {name}(?: {version})?(?: only| or later)?", 3, 1.0),
+    (r"under (?:the )?terms (?:and conditions )?of (?:the )?{name}(?: licen[sc]e)?(?: version)?(?: {version})?", 2, 0.95),
+    (r"(?:covered|governed) by (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version)?(?: {version})?", 2, 0.95),
+    (r"subject to (?:the )?(?:terms of (?:the )?)?{name}(?: licen[sc]e)?(?: version)?(?: {version})?", 2, 0.93),
     (r"{name} licen[sc]e(?: agreement)?(?: version)?(?: {version})?", 2, 0.9),
     (r"licen[sc]e {name}(?: version)?(?: {version})?", 1, 0.7),
 )
-# Wordings of license texts themselves: label, keyword, regular expression.
+# Signatures of license texts, headers and notices: label, keyword, regular expression.
 TEXTS = (
-    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification"),
-    ("public-domain", "domain", r"(?:released into|dedicated to|in) the public domain"),
+    ("mit", "permission", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "permission", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("mit", "noninfringement", r"provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", "sublicense", r"use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("x11", "consortium", r"the name of the x consortium shall not be used in advertising"),
+    ("isc", "permission", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "disclaims", r"the author disclaims all warranties with regard to this software"),
+    ("0bsd", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd", "endorse", r"neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd", "advertising", r"all advertising materials mentioning features or use of this software must display"),
+    ("apache", "apache", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache", "apache", r"www apache org licenses license 2 0"),
+    ("apache", "apache", r"this product includes software developed (?:by|at) the apache software foundation"),
+    ("apache", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl", "gnu", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "gnu", r"you should have received a copy of the gnu general public license"),
+    ("gpl", "gnu", r"www gnu org licenses gpl"),
+    ("gpl", "gpl", r"redistribute it and or modify it under the terms of the (?:gnu )?gpl(?:v[123])?"),
+    ("gpl", "gpl", r"free software released under the (?:gnu )?gpl(?:v[123])?"),
+    ("lgpl", "lesser", r"under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "lesser", r"you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", "library", r"under the terms of the gnu library general public license"),
+    ("agpl", "affero", r"under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("agpl", "affero", r"you should have received a copy of the gnu affero general public license"),
+    ("gfdl", "documentation", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", "mozilla", r"the contents of this file are subject to the mozilla public license version 1 [01]"),
+    ("mpl", "mpl", r"if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", "cddl", r"subject to the terms of the common development and distribution license the cddl"),
+    ("eupl", "eupl", r"licensed under the eupl(?: version)? 1 [012]"),
+    ("artistic", "artistic", r"this is free software you can redistribute it and or modify it under the terms of the artistic license"),
+    ("artistic", "perl", r"under the same terms as perl(?: itself)?"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("boost", "boost", r"distributed under the boost software license version 1 0"),
+    ("boost", "permission", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "wtfpl", r"do what the fuck you want to public license wtfpl"),
+    ("cc0", "cc0", r"cc0 1 0 universal(?: public domain dedication)?"),
+    ("cc0", "waived", r"has waived all copyright and related or neighboring rights"),
+    ("cc-by", "attribution", r"this work is licensed under a creative commons attribution [1234] [05] (?:international|generic|unported) license"),
+    ("cc-by", "creativecommons", r"creativecommons org licenses by [1234] [05]"),
+    ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1234] [05]"),
+    ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc(?: sa| nd)? [1234] [05]"),
+    ("cc-by-nd", "creativecommons", r"creativecommons org licenses by nd [1234] [05]"),
+    ("cc-by-sa", "attribution", r"this work is licensed under a creative commons attribution share ?alike [1234] [05] (?:international|generic|unported) license"),
+    ("ofl", "font", r"this font software is licensed under the sil open font license"),
+    ("psf", "python", r"this license agreement is between the python software foundation psf"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("postgresql", "permission", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("unicode", "unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files"),
+    ("ncsa", "illinois", r"developed by the university of illinois .{1,80}? permission is hereby granted free of charge"),
+    ("odbl", "database", r"this .{1,40}? is made available under the open database license"),
+    ("public-domain", "domain", r"(?:released into|dedicated to|placed in|in) the public domain"),
+    ("proprietary", "confidential", r"(?:this (?:document|software|file) is )?(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "unauthorized", r"unauthorized (?:copying|reproduction|distribution|use) of this (?:file|software|document) (?:via any medium )?is strictly prohibited"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
 )
-#: Every wording and text above holds one of these words.
-TRIGGERS = ("license", "licence", "licensed", "licenced", "released", "distributed", "available", "published", "provided", "permission", "redistribution", "domain", "reserved")
+#: Every wording above holds one of these words, every text its keyword.
+TRIGGERS = ("license", "licence", "licensed", "licenced", "released", "distributed", "available", "published", "provided", "terms", "covered", "governed", "subject")
+TRIGGERS += tuple(sorted({keyword for _, keyword, _ in TEXTS} - set(TRIGGERS)))
+#: A text without these letters in any case holds no trigger.
+LETTERS = "(?i)" + "|".join(sorted({t for t in TRIGGERS if not any(u != t and u in t for u in TRIGGERS)}))
 
 
 def rules() -> list[tuple]:
-    """(rule_id, label, keyword, regex, priority, confidence), one for each family, version and wording."""
+    """(rule_id, label, keyword, regex, priority, confidence): a wording for each family, and the signatures."""
     made = []
     for label, keyword, name, versions in FAMILIES:
-        for version in versions or ("",):
-            for wording, priority, sure in WORDINGS:
-                body = wording.replace("{name}", name)
-                body = body.replace("(?: {version})?", f" {version}" if version else "")
-                made.append((label, keyword, body, priority + bool(version), sure))
-        if versions:
-            made += [(label, keyword, w.replace("{name}", name).replace("(?: {version})?", ""), p, sure) for w, p, sure in WORDINGS]
-    made += [(label, keyword, body, 3, 0.95) for label, keyword, body in TEXTS]
+        for wording, priority, sure in WORDINGS:
+            body = wording.replace("{name}", name)
+            body = body.replace("{version}", f"(?:{'|'.join(sorted(versions, key=len, reverse=True))})") if versions else body.replace("(?: {version})?", "")
+            made.append((label, keyword, body, priority, sure))
+    made += [(label, keyword, body, 4, 0.95) for label, keyword, body in TEXTS]
     return [(i, label, keyword, f"(?<= ){body}(?= )", priority, sure) for i, (label, keyword, body, priority, sure) in enumerate(made)]
 
 
@@ -120,7 +181,8 @@ def detections(docs: DataFrame, *, id_col="doc_id", text_col="text") -> DataFram
     table_ = spark.createDataFrame(rules(), "rule_id int, label string, keyword string, regex string, priority int, confidence double")
     keywords = F.array(*[F.lit(k) for k in sorted({r[2] for r in rules()} | set(FORMS))])
     forms = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
-    gated = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), normalised(F.col(text_col)).alias("norm"))
+    near = docs.filter(F.regexp_like(F.col(text_col), F.lit(LETTERS)))
+    gated = near.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), normalised(F.col(text_col)).alias("norm"))
     # One reference to `norm`: the filter is pushed below the projection, with a copy of it for each.
     gated = gated.filter(F.regexp_like("norm", F.lit(f" (?:{'|'.join(TRIGGERS)}) "))).withColumn("row", F.monotonically_increasing_id())
     gated = gated.withColumn("held", F.array_intersect(F.split("norm", " "), keywords))

@@ -1,8 +1,10 @@
 """Token counts of byte-level BPE by a map-side two-tier lookup; no pre-token is shuffled.
 
 Texts are cut into pre-tokens as the tokenizer does.  A broadcast hash table gives the lengths of
-frequent pre-tokens; a miss is encoded by the library and kept in the worker's own cache.  The
-table is fitted on the words of a bounded sample (at most about `sample_docs` documents) and holds
+frequent pre-tokens; a miss is encoded by the library and kept in the worker's own cache, if it has
+at most LONGEST characters.  A text with characters on which libraries' tables of Unicode may differ
+is cut before words after a single space, where no pre-token can reach over, and only the pieces
+that hold such a character go to the library.  The table is fitted on the words of a bounded sample (at most about `sample_docs` documents) and holds
 at most `table_size` entries; it only saves work: counts are those of the library either way.
 
 Defined results: a null text is empty and has 0 tokens; the strings of special tokens inside a
@@ -28,6 +30,10 @@ from .common import spread, table
 
 #: Entries that a worker's cache of misses holds before it starts anew.
 CACHE = 1 << 18
+#: Characters of a pre-token from which on it is not kept.
+LONGEST = 64
+#: Before a space and an ASCII letter, after anything but white space: pre-tokens end and begin there.
+CUT = re.compile(r"(?<=\S)(?= [A-Za-z])")
 
 
 def _exotic() -> str:
@@ -63,14 +69,21 @@ class Counting(dict):
         n = self.frequent.get(piece)
         if n is None:
             n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(self) >= CACHE:
-            self.clear()
-        self[piece] = n
+        if len(piece) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[piece] = n
         return n
 
     def count(self, text: str) -> int:
         if self.exotic(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            n, plain = 0, []
+            for piece in CUT.split(text):
+                if self.exotic(piece):
+                    n += len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+                else:
+                    plain.append(piece)
+            return n + self.count("".join(plain)) if plain else n
         n, get = 0, self.__getitem__
         if self.cut and self.cut.search(text):
             n, parts = len(self.cut.findall(text)), self.cut.split(text)
@@ -82,7 +95,7 @@ class Counting(dict):
 
 
 def frequent_lengths(docs: DataFrame, path: str, text_col: str, sample_docs: int, table_size: int) -> dict:
-    """Lengths of the most frequent pre-tokens of about `sample_docs` rows, chosen by a hash of their texts.
+    """Lengths of the most frequent pre-tokens of about `sample_docs` rows, drawn at random, as any sample will do.
 
     Each partition sends its own most frequent ones, a share of the table; at most twice the table
     reaches the driver.
@@ -91,8 +104,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, sample_docs: int
     rows = docs.count()
     if not rows:
         return {}
-    share = max(1, min(1 << 20, (1 << 20) * sample_docs // rows))
-    sample = docs.select(F.col(text_col).alias("text")).filter(f"text is not null and pmod(xxhash64(text), {1 << 20}) < {share}")
+    sample = docs.select(F.col(text_col).alias("text")).sample(min(1.0, sample_docs / rows), seed=1).filter("text is not null")
     each = max(64, 2 * table_size // max(1, sample.rdd.getNumPartitions()))
 
     def counted(batches):

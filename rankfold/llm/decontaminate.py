@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import LETTER_GAP, Scratch, lower_ascii, table
 
-#: Rows up to which a table of fingerprints, windows or candidates (under 200 bytes a row) is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a table of fingerprints, windows or candidates is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -48,8 +48,13 @@ def _prints(df: DataFrame, window: int, gram: int, short: list[int]) -> DataFram
     return df.withColumn("prints", F.array_distinct(F.concat(*every))).drop("grams")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _bytes(df: DataFrame, size: Column) -> int:
+    """Bytes of a table whose rows take `size` each, and 64 for the row itself."""
+    return df.agg(F.sum(size + 64)).first()[0] or 0
+
+
+def _sized(df: DataFrame, n_bytes: int) -> DataFrame:
+    return F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
 
 
 def contaminated_words(
@@ -69,7 +74,8 @@ def contaminated_words(
     for n in short:
         long = long.unionByName(tests.filter(F.size("words") == n).select(F.explode_outer(_grams(F.col("words"), n)).alias("print")))
     prints = scratch.save(long.distinct(), "prints")
-    n_wins, n_prints = wins.count(), prints.count()
+    n_wins = _bytes(wins, F.octet_length("win") + F.expr("aggregate(item_ids, 0L, (a, x) -> a + 16 + octet_length(cast(x as string)))"))
+    n_prints = _bytes(prints, F.lit(8))
 
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words_of(F.col(text_col)).alias("words"))
     # An inner explode would make the optimizer filter by the arrays' sizes, with the whole computation
@@ -77,13 +83,14 @@ def contaminated_words(
     seen = _prints(keyed, window, gram, short).select("doc_id", "text_hash", F.explode_outer("prints").alias("print"))
     hit = seen.join(_sized(prints, n_prints), "print", "left_semi").select("doc_id", "text_hash").distinct()
     hit = scratch.save(hit, "candidates")
-    n_hit = hit.count()
+    n_hit = _bytes(hit, 24 + F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
     # Rows with equal id and text find the same windows; the sets below take them once.
     found = keyed.join(_sized(hit.toDF("d", "t"), n_hit), same, "left_semi")
     runs = [_runs(F.size("words"), n) for n in [*short, window]]
-    found = found.select("doc_id", "text_hash", "words", F.explode_outer(F.concat(*runs)).alias("r")).filter("r is not null")
-    found = found.select("doc_id", "text_hash", F.col("r.i").alias("i"), F.col("r.n").alias("n"), F.array_join(F.slice("words", F.col("r.i") + 1, F.col("r.n")), " ").alias("win"))
+    # Windows are cut before they become rows, so that no row carries the words of its whole text.
+    windows = F.transform(F.concat(*runs), lambda r: F.struct(r["i"].alias("i"), r["n"].alias("n"), F.array_join(F.slice("words", r["i"] + 1, r["n"]), " ").alias("win")))
+    found = found.select("doc_id", "text_hash", F.explode_outer(windows).alias("r")).filter("r is not null").select("doc_id", "text_hash", "r.*")
     found = found.join(_sized(wins, n_wins), ["n", "win"])
     found = found.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("i", "n"))).alias("spans"), F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"))
     return scratch.save(found, "found")

@@ -61,10 +61,12 @@ def text_part(c: Column) -> Column:
 def format_chats(turns: DataFrame, *, conv_col="conv_id", turn_col="turn", role_col="role", parts: Column | None = None, learn_from=("assistant",)) -> DataFrame:
     """conv_id, formatted, segments (text, loss: their texts make up `formatted`), attachments in order."""
     content, attached = visit(text_part(F.col("text")) if parts is None else parts)
+    raw = F.coalesce(F.col("text"), F.lit("")) if parts is None else F.lit("")
     flat = turns.select(
-        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), content.alias("content"), attached.alias("attached")
+        F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), raw.alias("raw"), content.alias("content"), attached.alias("attached")
     )
-    convs = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "content", "attached"))).alias("turns"))
+    # Tied turns are in the order of what was said, not of its escaped form.
+    convs = flat.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "raw", "content", "attached"))).alias("turns"))
 
     def pieces(t: Column) -> Column:
         learned = t["role"].isin(*learn_from)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, decontaminate, language, licenses, mixing, quality, simhash, substrings, tokencount, urlrules
 
+
+
+def pipeline(spark, sf_dir: str):
+    """The stages of corpus_pipeline.py at the repository's top, which imports this subpackage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_url_filters": urlrules.op2_url_filters,
@@ -17,7 +24,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": tokencount.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 SQL = {
     "op2_url_filters": urlrules.OP2_SQL,
@@ -25,5 +32,3 @@ SQL = {
     "op5_chat_format": chat.OP5_SQL,
     "op6_substring_dedup": substrings.OP6_SQL,
 }
-if corpus_pipeline.ORACLE_SQL:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

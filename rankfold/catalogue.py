@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .functions.keys import bits, cents, micros, morton
+from .functions.keys import bits, cents, micros
 from .operators import codecs as C
 from .operators import encodings as E
 from .operators import hulls as H
 from .operators import lookups as L
 from .operators import models as M
-from .operators import spatial as S
 from .operators import store as ST
 from .operators.ranking import asof, with_pages, with_rank, zones
+from .operators.tuning import reference_sizes
 from .plans import workload
 from .session import materialize
 from .sources import keys as K
@@ -46,12 +46,12 @@ def _orders(spark, d) -> DataFrame:
 
 EV = "ev AS (SELECT epoch_us(ts) AS key FROM events), rk AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS rank FROM ev)"
 ORD = "ord AS (SELECT o_orderkey::BIGINT AS key, round(o_totalprice * 100)::BIGINT AS value FROM orders)"
-#: Probes: every 37th key by rank (0 of 37), the same plus one, and one below and above all.
-PROBES = f"WITH {EV}, probes AS (SELECT DISTINCT probe FROM (SELECT key AS probe FROM rk WHERE rank % 37 = 0 UNION ALL SELECT key + 1 FROM rk WHERE rank % 37 = 1 UNION ALL SELECT min(key) - 5 FROM rk UNION ALL SELECT max(key) + 5 FROM rk))"
+#: Probes: every 20th key by rank (0 of 20), the same plus one, and one below and above all.
+PROBES = f"WITH {EV}, probes AS (SELECT DISTINCT probe FROM (SELECT key AS probe FROM rk WHERE rank % 20 = 0 UNION ALL SELECT key + 1 FROM rk WHERE rank % 20 = 1 UNION ALL SELECT min(key) - 5 FROM rk UNION ALL SELECT max(key) + 5 FROM rk))"
 
 
 def _probes(ranked: DataFrame) -> DataFrame:
-    some = ranked.filter("rank % 37 = 0").select(F.col("key").alias("probe")).unionByName(ranked.filter("rank % 37 = 1").select((F.col("key") + 1).alias("probe")))
+    some = ranked.filter("rank % 20 = 0").select(F.col("key").alias("probe")).unionByName(ranked.filter("rank % 20 = 1").select((F.col("key") + 1).alias("probe")))
     ends = ranked.agg(F.min("key").alias("a"), F.max("key").alias("b")).select(F.explode(F.array(F.col("a") - 5, F.col("b") + 5)).alias("probe"))
     return some.unionByName(ends).distinct()
 
@@ -70,10 +70,10 @@ def zone_map(spark, d):
     return zones(with_pages(with_rank(keys, "key"), 256))
 
 
-@query(f"WITH {ORD}, p AS (SELECT DISTINCT key * 2 AS probe FROM ord WHERE key % 97 = 0), r AS (SELECT *, (row_number() OVER (ORDER BY key) - 1) // 256 AS page_id FROM ord), z AS (SELECT page_id, min(key) lo, max(key) hi FROM r GROUP BY 1) SELECT probe, z.page_id, value FROM p LEFT JOIN z ON probe BETWEEN lo AND hi LEFT JOIN r ON r.key = probe")
+@query(f"WITH {ORD}, p AS (SELECT DISTINCT key * 2 AS probe FROM ord WHERE key % 20 = 0), r AS (SELECT *, (row_number() OVER (ORDER BY key) - 1) // 256 AS page_id FROM ord), z AS (SELECT page_id, min(key) lo, max(key) hi FROM r GROUP BY 1) SELECT probe, z.page_id, value FROM p LEFT JOIN z ON probe BETWEEN lo AND hi LEFT JOIN r ON r.key = probe")
 def zone_lookup_page(spark, d):
     orders = _orders(spark, d)
-    return L.zone_lookup(orders, orders.filter("key % 97 = 0").select((F.col("key") * 2).alias("probe")).distinct())
+    return L.zone_lookup(orders, orders.filter("key % 20 = 0").select((F.col("key") * 2).alias("probe")).distinct())
 
 
 @query(f"WITH {EV} SELECT key, rank, rank // 64 AS granule FROM rk WHERE rank % 64 IN (0, 63)")
@@ -116,17 +116,17 @@ def seek_table_lookup(spark, d):
 # Lookups.
 
 
-@query(f"WITH {ORD}, p AS (SELECT key AS probe FROM ord WHERE key % 41 = 0) SELECT probe, 1::BIGINT AS n, probe::DECIMAL(38,0) AS total FROM p")
+@query(f"WITH {ORD}, p AS (SELECT key AS probe FROM ord WHERE key % 20 = 0) SELECT probe, 1::BIGINT AS n, probe::DECIMAL(38,0) AS total FROM p")
 def point_lookup(spark, d):
     o = _orders(spark, d)
-    return L.point_lookup(o, o.filter("key % 41 = 0").select(F.col("key").alias("probe")))
+    return L.point_lookup(o, o.filter("key % 20 = 0").select(F.col("key").alias("probe")))
 
 
-@query(f"WITH {ORD} SELECT key + (SELECT max(key) + 1 FROM ord) AS probe, NULL::BIGINT AS n, NULL::DECIMAL(38,0) AS total FROM ord WHERE key % 41 = 0")
+@query(f"WITH {ORD} SELECT key + (SELECT max(key) + 1 FROM ord) AS probe, NULL::BIGINT AS n, NULL::DECIMAL(38,0) AS total FROM ord WHERE key % 20 = 0")
 def point_lookup_miss(spark, d):
     o = _orders(spark, d)
     top = o.agg((F.max("key") + 1).alias("m"))
-    return L.point_lookup(o, o.filter("key % 41 = 0").join(F.broadcast(top)).select((F.col("key") + F.col("m")).alias("probe")))
+    return L.point_lookup(o, o.filter("key % 20 = 0").join(F.broadcast(top)).select((F.col("key") + F.col("m")).alias("probe")))
 
 
 @query("SELECT l_quantity::BIGINT AS probe, least(count(*), 100) AS n, (least(count(*), 100) * l_quantity::BIGINT)::DECIMAL(38,0) AS total FROM lineitem GROUP BY 1, l_quantity")
@@ -147,16 +147,16 @@ def floor_asof(spark, d):
     return asof(_probes(with_rank(e, "key")), e, "probe", "key", [])
 
 
-@query("WITH r AS (SELECT l_orderkey::BIGINT AS key, row_number() OVER (ORDER BY l_orderkey) - 1 AS rank FROM lineitem) SELECT key, min(rank) AS first, max(rank) + 1 AS stop FROM r WHERE key % 13 = 0 GROUP BY key")
+@query("WITH r AS (SELECT l_orderkey::BIGINT AS key, row_number() OVER (ORDER BY l_orderkey) - 1 AS rank FROM lineitem) SELECT key, min(rank) AS first, max(rank) + 1 AS stop FROM r GROUP BY key")
 def equal_range(spark, d):
     r = with_rank(_table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("key")), "key")
-    return r.filter("key % 13 = 0").groupBy("key").agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("stop"))
+    return r.groupBy("key").agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("stop"))
 
 
-@query(f"WITH {EV}, s AS (SELECT key + 1 AS start FROM rk WHERE rank % 501 = 0) SELECT start, count(key) AS found, sum(rank)::BIGINT AS total FROM (SELECT start, key, rank, row_number() OVER (PARTITION BY start ORDER BY key) AS i FROM s LEFT JOIN rk ON key >= start) WHERE i <= 50 GROUP BY start")
+@query(f"WITH {EV}, s AS (SELECT key + 1 AS start FROM rk WHERE rank % 20 = 0) SELECT start, count(key) AS found, sum(rank)::BIGINT AS total FROM (SELECT start, key, rank, row_number() OVER (PARTITION BY start ORDER BY key) AS i FROM s LEFT JOIN rk ON key >= start) WHERE i <= 50 GROUP BY start")
 def scan_n(spark, d):
     r = materialize(with_rank(_events(spark, d), "key"), "ranked")
-    return L.scan(r.select("key", F.col("rank").alias("value")), r.filter("rank % 501 = 0").select((F.col("key") + 1).alias("start")), 50)
+    return L.scan(r.select("key", F.col("rank").alias("value")), r.filter("rank % 20 = 0").select((F.col("key") + 1).alias("start")), 50)
 
 
 @query(f"WITH {ORD} SELECT sum(value)::DECIMAL(38,0) AS total, count(*) AS n FROM ord WHERE key BETWEEN 100 AND 9000")
@@ -201,19 +201,38 @@ def fetch_page_averages(spark, d):
 # Learned models.
 
 
-@query()
+#: What holds for every model: all keys are covered, none is off by more than its segment states, or than it was to be.
+_CHECKED = f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS uncovered, 0::BIGINT AS beyond_stated, 0::BIGINT AS beyond_wanted, true AS in_order FROM ev"
+
+
+def _check(r: DataFrame, model: DataFrame, most: int, start: str = "first_rank") -> DataFrame:
+    """The invariants of a model over the ranked keys r; `most` is the error that was asked for, one more for rounding."""
+    model = materialize(model, "model")
+    columns = sorted({start, "slope", "first_rank", "last_rank", "max_err"})
+    found = asof(r, model, "key", "first_key", columns)
+    off = F.abs(F.col(start) + F.floor(F.col("slope") * (F.col("key") - F.col("found_key"))) - F.col("rank"))
+    inside = F.col("rank").between(F.col("first_rank"), F.col("last_rank"))
+    out = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("uncovered"), F.count_if(off > F.col("max_err")).alias("beyond_stated"), F.count_if(off > most + 1).alias("beyond_wanted"))
+    ends = model.agg((F.sum(F.col("last_rank") - F.col("first_rank") + 1) == F.max("last_rank") + 1).alias("in_order"))
+    return out.join(F.broadcast(ends))
+
+
+@query(_CHECKED)
 def pla_segments(spark, d):
-    return M.segments(with_rank(_events(spark, d), "key"), 64)
+    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
+    return _check(r, M.segments(r, 64), 64)
 
 
-@query()
+@query(_CHECKED)
 def spline_segments(spark, d):
-    return M.segments(with_rank(_events(spark, d), "key"), 64, spline=True)
+    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
+    return _check(r, M.segments(r, 64, spline=True), 64)
 
 
-@query()
+@query(_CHECKED)
 def page_aligned_segments(spark, d):
-    return M.segments(with_rank(_events(spark, d), "key"), 16, page=256)
+    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
+    return _check(r, M.segments(r, 16, page=256), 16 + 256)
 
 
 @query()
@@ -245,10 +264,10 @@ _model("di_lookup", eps=16, page=256)
 _model("spline_lookup", eps=64, spline=True)
 
 
-@query("WITH r AS (SELECT l_orderkey::BIGINT AS key, row_number() OVER (ORDER BY l_orderkey) - 1 AS rank FROM lineitem), p AS (SELECT DISTINCT key AS probe FROM r WHERE key % 29 = 0) SELECT probe, min(rank) AS rank FROM p JOIN r ON key = probe GROUP BY probe")
+@query("WITH r AS (SELECT l_orderkey::BIGINT AS key, row_number() OVER (ORDER BY l_orderkey) - 1 AS rank FROM lineitem), p AS (SELECT DISTINCT key AS probe FROM r WHERE key % 20 = 0) SELECT probe, min(rank) AS rank FROM p JOIN r ON key = probe GROUP BY probe")
 def pla_lookup_duplicates(spark, d):
     t = materialize(_table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("key")), "keys")
-    return M.model_lookup(t, t.filter("key % 29 = 0").select(F.col("key").alias("probe")).distinct(), eps=32)
+    return M.model_lookup(t, t.filter("key % 20 = 0").select(F.col("key").alias("probe")).distinct(), eps=32)
 
 
 # Longest segments, their shared and compressed forms.
@@ -264,9 +283,9 @@ def _merged(spark, d, eps=16, page=0):
     return r, materialize(H.refit(r, H.merge_slopes(model), eps, page), "merged")
 
 
-@query()
+@query(_CHECKED)
 def hull_segments(spark, d):
-    return _hull(spark, d)[1]
+    return _check(*_hull(spark, d), 16, start="intercept")
 
 
 @query(_FOUND)
@@ -290,8 +309,9 @@ def merged_slope_lookup(spark, d):
 def _stored(name, **how):
     def run(spark, d):
         r, model = _merged(spark, d, **how)
-        coded = materialize(H.compress(model), "coded")
-        return H.find_ranks(r, _probes(r), materialize(H.decompress(coded, H.slope_table(model)), "decoded"))
+        lines, coded = H.compress(model)
+        stored = materialize(coded, "coded"), materialize(H.slope_table(model), "slopes")
+        return H.find_ranks(r, _probes(r), materialize(H.decompress(lines, *stored), "decoded"))
 
     run.__name__ = name
     query(_FOUND)(run)
@@ -303,19 +323,19 @@ _stored("compressed_di_lookup", eps=16, page=256)
 
 @query()
 def compressed_model_bits(spark, d):
-    return H.model_bits(H.compress(_merged(spark, d, 4)[1]))
+    return H.model_bits(H.compress(_merged(spark, d, 4)[1])[1])
 
 
 @query(f"{PROBES} SELECT probe, (SELECT max(rank) // 64 FROM rk WHERE key <= probe) AS page_id FROM probes")
 def coded_zone_pages(spark, d):
     r = materialize(with_rank(_events(spark, d), "key"), "ranked")
-    return asof(_probes(r), H.coded_zones(r, 64), "probe", "lo", ["page_id"]).select("probe", "page_id")
+    return asof(_probes(r), H.page_values(*H.coded_zones(r, 64), "lo"), "probe", "lo", ["page_id"]).select("probe", "page_id")
 
 
 @query(_FOUND)
 def separator_lookup(spark, d):
     r = materialize(with_rank(_events(spark, d), "key"), "ranked")
-    return H.in_page(r, H.page_of(_probes(r), materialize(H.separators(r, 64), "separators")), 64)
+    return H.in_page(r, H.page_of(_probes(r), H.page_values(*H.separators(r, 64), "separator")), 64)
 
 
 # Variable-length blocks, strings, symbol tables.
@@ -346,10 +366,10 @@ def piece_sizes(spark, d):
 _NAMES = "WITH r AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS rank FROM customer), u AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS rank FROM pages WHERE url IS NOT NULL)"
 
 
-@query(f"{_NAMES} SELECT rank // 64 AS block_id, rank % 64 AS idx, c_name AS text FROM r WHERE rank % 7 = 3")
+@query(f"{_NAMES} SELECT rank // 64 AS block_id, rank % 64 AS idx, c_name AS text FROM r")
 def string_gather(spark, d):
     b = materialize(E.blocks(_table(spark, d, "customer").select("c_name"), 64), "names")
-    return C.string_at(C.string_blocks(b, "c_name"), b.filter("rank % 7 = 3").select("block_id", "idx"))
+    return C.string_at(C.string_blocks(b, "c_name"), b.select("block_id", "idx"))
 
 
 @query(f"{_NAMES} SELECT rank // 32 AS block_id, rank % 32 AS idx, url AS text FROM u")
@@ -422,22 +442,15 @@ def vbyte_size(spark, d):
 
 
 @query(f"{_BLK}, m AS (SELECT *, (key - min(key) OVER (PARTITION BY block_id))::DOUBLE AS y FROM b) SELECT block_id, count(*) AS n, round(regr_slope(y, idx::DOUBLE) / 1e6, 4) AS slope, round(regr_intercept(y, idx::DOUBLE) / 1e9, 4) AS intercept FROM m GROUP BY 1")
-def leco_block_fit(spark, d):
+def line_block_fit(spark, d):
     f = E.line_fit(E.blocks(_events(spark, d), 256))
     return f.select("block_id", "n", F.round(F.col("slope") / 1e6, 4).alias("slope"), F.round(F.col("intercept") / 1e9, 4).alias("intercept"))
 
 
-@query(f"{_BLK} SELECT count(*) AS n, 0::BIGINT AS wrong FROM b")
-def leco_round_trip(spark, d):
-    b = materialize(E.blocks(_events(spark, d), 256), "blocks")
-    x = E.line_residuals(b, E.line_fit(b))
-    return x.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("guess") + F.col("residual") != F.col("key")).alias("wrong"))
-
-
 @query()
-def leco_sizes(spark, d):
+def line_block_sizes(spark, d):
     b = materialize(E.blocks(_events(spark, d), 256), "blocks")
-    x = E.line_residuals(b, E.line_fit(b)).groupBy("block_id").agg(F.max(F.abs("residual")).alias("most"), F.count(F.lit(1)).alias("n"))
+    x = E.line_residuals(b, E.stored_line(E.line_fit(b))).groupBy("block_id").agg(F.max(F.abs("residual")).alias("most"), F.count(F.lit(1)).alias("n"))
     return x.select("block_id", "n", (bits(F.col("most")) + 1).alias("bits"))
 
 
@@ -450,9 +463,7 @@ def entropy_by_block(spark, d):
 
 @query(f"WITH {EV}, g AS (SELECT unnest([64, 128, 256, 512, 1024, 2048]) AS size), s AS (SELECT size, rank // size AS blk, count(*) AS n, {_bits('max(key) - min(key)')} AS bits FROM rk, g GROUP BY 1, 2) SELECT size::BIGINT AS size, sum((n * bits + 7) // 8 + 9)::BIGINT AS n_bytes FROM s GROUP BY 1 ORDER BY n_bytes, size LIMIT 1")
 def best_block_size(spark, d):
-    r = with_rank(_events(spark, d), "key").withColumn("size", F.explode(F.array(*[F.lit(x) for x in (64, 128, 256, 512, 1024, 2048)])))
-    s = r.groupBy("size", F.expr("rank div size").alias("blk")).agg(F.count(F.lit(1)).alias("n"), bits(F.max("key") - F.min("key")).alias("bits"))
-    s = s.groupBy(F.col("size").cast("long").alias("size")).agg(F.sum(F.expr("(n * bits + 7) div 8 + 9")).alias("n_bytes"))
+    s = reference_sizes(with_rank(_events(spark, d), "key"), [64, 128, 256, 512, 1024, 2048])
     return s.orderBy("n_bytes", "size").limit(1)
 
 
@@ -470,34 +481,6 @@ def error_dictionary(spark, d):
     return z.join(codes, "err").select("block_id", "err", "code")
 
 
-@query(f"WITH {EV}, c AS (SELECT key FROM rk WHERE rank = 9000 OR rank = (SELECT count(*) * 9 // 10 FROM ev) ORDER BY key DESC LIMIT 1) SELECT key, rank FROM rk WHERE key > (SELECT key FROM c)")
-def filter_gt_encoded(spark, d):
-    b = materialize(E.blocks(_events(spark, d), 256), "blocks")
-    n = b.count()
-    cut = b.filter(F.col("rank").isin(9000, n * 9 // 10)).agg(F.max("key")).first()[0]
-    return E.greater_than(b, E.frame_of_reference(b), cut).select("key", "rank")
-
-
-@query(f"WITH {EV} SELECT key, rank FROM rk WHERE key % 86400000000 > 3600000000 AND key % 86400000000 < 7200000000")
-def filter_modulo(spark, d):
-    return E.modulo_between(with_rank(_events(spark, d), "key"), 86_400_000_000, 3_600_000_000, 7_200_000_000)
-
-
-@query(f"WITH {EV} SELECT rank, key FROM rk WHERE rank * 7919 % 1000 < 10")
-def bitmap_gather(spark, d):
-    r = materialize(with_rank(_events(spark, d), "key"), "ranked")
-    bitmap = r.select("rank").filter("rank * 7919 % 1000 < 10")
-    return r.join(bitmap, "rank", "left_semi").select("rank", "key")
-
-
-@query(f"{_BLK} SELECT block_id, sum(key)::DECIMAL(38,0) AS total FROM b GROUP BY 1")
-def sum_encoded(spark, d):
-    b = materialize(E.blocks(_events(spark, d), 256), "blocks")
-    z = E.frame_of_reference(b)
-    rest = b.join(z.select("block_id", "lo"), "block_id").withColumn("delta", F.col("key") - F.col("lo"))
-    return E.encoded_sum(z, rest)
-
-
 # Store.
 
 _OPS = "chg AS (SELECT range * 7919 % (2 * (SELECT count(*) FROM ord)) AS key, range * 3 AS value, range + 1 AS seq, range % 11 = 0 AS deleted FROM range(0, 4000)), base AS (SELECT key, value, 0::BIGINT AS seq, false AS deleted FROM ord), every AS (SELECT * FROM base UNION ALL SELECT * FROM chg), newest AS (SELECT key, arg_max(value, seq) AS value, max(seq) AS seq, arg_max(deleted, seq) AS deleted FROM every GROUP BY key)"
@@ -554,11 +537,6 @@ def partition_merge(spark, d):
     return out.join(overlap).select("n", "n_keys", (F.col("bad") + F.col("k")).alias("disordered"))
 
 
-@query("WITH s AS (SELECT range AS seq FROM range(0, 4000)) SELECT seq, CASE WHEN seq < 2560 THEN 3 WHEN seq < 3840 THEN 2 WHEN seq < 4000 THEN 1 ELSE 0 END::BIGINT AS level FROM s")
-def lsm_levels(spark, d):
-    return ST.levels(spark.range(4000).select(F.col("id").alias("seq")), 4, 160).select("seq", "level")
-
-
 @query(f"WITH {ORD} SELECT key, value FROM ord WHERE NOT (key >= 500 AND key < 2500)")
 def erase_range(spark, d):
     return _orders(spark, d).filter("not (key >= 500 and key < 2500)")
@@ -570,13 +548,6 @@ def multimap_counts(spark, d):
     return t.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first_value"))
 
 
-@query("SELECT 0::BIGINT AS left_only, 0::BIGINT AS right_only")
-def container_compare(spark, d):
-    a, b = _orders(spark, d), _orders(spark, d).repartitionByRange("key").sortWithinPartitions("key")
-    x = a.exceptAll(b).agg(F.count(F.lit(1)).alias("left_only"))
-    return x.join(b.exceptAll(a).agg(F.count(F.lit(1)).alias("right_only")))
-
-
 @query(f"WITH {EV} SELECT 0::BIGINT AS disordered, 0::BIGINT AS overlapping, count(*) AS n FROM ev")
 def verify_invariants(spark, d):
     r = materialize(with_pages(with_rank(_events(spark, d), "key"), 256), "paged")
@@ -623,16 +594,6 @@ def ycsb_parse(spark, d):
     return K.parse_operations(spark.range(1000).select(line.alias("value")))
 
 
-@query()
-def zipf_workload(spark, d):
-    return workload.zipf_ranks(spark, 5000, 1000).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def hotspot_workload(spark, d):
-    return workload.hotspot_ranks(spark, 5000, 1000).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("WITH l AS (SELECT user_id, max(epoch_us(ts)) AS last FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY last DESC, user_id) AS k FROM l) SELECT user_id, last AS last_access, k <= 100 AS hot FROM r")
 def hot_cold_lru(spark, d):
     last = _table(spark, d, "events").groupBy("user_id").agg(F.max(micros("ts")).alias("last_access"))
@@ -649,30 +610,6 @@ def _points(spark, d):
     return _table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("x"), cents("p_retailprice").alias("y"))
 
 
-@query(f"WITH {PT} SELECT id, x, y FROM pt WHERE x BETWEEN 10 AND 30 AND y BETWEEN 95000 AND 140000")
-def box_query(spark, d):
-    return S.box(S.z_ordered(_points(spark, d)), 10, 30, 95_000, 140_000).select("id", "x", "y")
-
-
-def _spread_sql(c):
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = f"(({c} | ({c} << {shift})) & {mask})"
-    return c
-
-
-@query(f"WITH {PT}, s AS (SELECT id, x & 1048575 AS x, y & 1048575 AS y FROM pt) SELECT id, {_spread_sql('x')} | ({_spread_sql('y')} << 1) AS z FROM s")
-def morton_code(spark, d):
-    return _points(spark, d).select("id", morton(F.col("x"), F.col("y")).alias("z"))
-
-
-_Q = [(i, i * 5, 90_000 + i * 9_000) for i in range(10)]
-
-
-@query(f"WITH {PT}, q AS (SELECT range AS query, range * 5 AS qx, 90000 + range * 9000 AS qy FROM range(0, 10)), dd AS (SELECT query, id, ((x - qx) * (x - qx) + (y - qy) * (y - qy))::BIGINT AS dist FROM pt, q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY dist, id) AS pos FROM dd) SELECT query::INTEGER AS query, id, dist, pos::INTEGER AS pos FROM r WHERE pos <= 5")
-def knn_exact(spark, d):
-    return S.nearest(_points(spark, d), _Q, 5)
-
-
 @query("SELECT count(*) AS n, sum(l_orderkey)::DECIMAL(38,0) AS keys, max(l_orderkey)::BIGINT AS most, round(avg(l_orderkey), 4) AS mean FROM lineitem")
 def checksum(spark, d):
     k = F.col("l_orderkey").cast("long")

@@ -25,14 +25,38 @@ def bits(c: Column) -> Column:
     return F.when(c == 0, 0).otherwise(F.length(F.bin(c.cast("long")))).cast("long")
 
 
-def morton(x: Column, y: Column, width: int = 20) -> Column:
-    """Interleaved bits of two integers below 2^width, x in the even places."""
-    def spread(c: Column) -> Column:
-        c = c.cast("long")
-        # The usual steps and masks that part 32 bits to every second place.
-        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-        return c
-
-    low = F.lit((1 << width) - 1)
-    return spread(x.bitwiseAND(low)).bitwiseOR(F.shiftleft(spread(y.bitwiseAND(low)), 1))
+def morton_code(axes: list[Column], width: int) -> Column:
+    """Interleaved bits of two to four integers below 2^width, the first in the lowest places; width * axes < 64."""
+    n, out = len(axes), None
+    for k, c in enumerate(axes):
+        c, bits_ = c.cast("long"), None
+        for i in range(width):
+            b = F.shiftleft(F.shiftright(c, i).bitwiseAND(F.lit(1)), i * n + k)
+            bits_ = b if bits_ is None else bits_.bitwiseOR(b)
+        out = bits_ if out is None else out.bitwiseOR(bits_)
+    return out
+
+
+def morton_axis(z: Column, axis: int, axes: int, width: int) -> Column:
+    """The integer that a Morton code holds for one of its axes."""
+    out = None
+    for i in range(width):
+        b = F.shiftleft(F.shiftright(z, i * axes + axis).bitwiseAND(F.lit(1)), i)
+        out = b if out is None else out.bitwiseOR(b)
+    return out
+
+
+def unit(i: Column, seed: int) -> Column:
+    """A number in (0, 1) for each non-negative integer: products modulo 2^32, the high half folded into the low one in between.
+
+    Streams of different seeds are unlike; all steps are integer operations that any SQL engine has.
+    """
+    whole = F.lit(1 << 32)
+
+    def folded(c: Column) -> Column:
+        return c.bitwiseXOR(F.shiftright(c, 16))
+
+    x = folded((F.pmod(i, F.lit(1 << 30)) * 2654435761 + seed * 1013904223) % whole)
+    for _ in range(2):
+        x = folded((x * 73244475) % whole)
+    return (x + 0.5) / float(1 << 32)

@@ -47,28 +47,27 @@ def line_fit(b: DataFrame) -> DataFrame:
     return rel.groupBy("block_id", "lo").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("y", F.col("idx").cast("double")).alias("slope"), F.regr_intercept("y", F.col("idx").cast("double")).alias("intercept"))
 
 
-def line_residuals(b: DataFrame, fit: DataFrame) -> DataFrame:
-    """Integer residuals: key = lo + floor(intercept + slope * idx) + residual, exactly."""
-    joined = b.join(fit.select("block_id", "lo", F.coalesce("slope", F.lit(0.0)).alias("slope"), F.coalesce("intercept", F.lit(0.0)).alias("intercept")), "block_id")
-    guess = F.col("lo") + F.floor(F.col("intercept") + F.col("slope") * F.col("idx")).cast("long")
-    return joined.withColumn("guess", guess).withColumn("residual", F.col("key") - F.col("guess"))
+def stored_line(fit: DataFrame) -> DataFrame:
+    """(block_id, lo, slope, intercept) of line_fit(): all that a block's guesses need."""
+    zero = F.lit(0.0)
+    return fit.select("block_id", "lo", F.coalesce("slope", zero).alias("slope"), F.coalesce("intercept", zero).alias("intercept"))
 
 
-def greater_than(b: DataFrame, zone: DataFrame, least: int) -> DataFrame:
-    """Rows with key > least: blocks whose hi rules them out are never joined."""
-    live = zone.filter(F.col("hi") > least).select("block_id")
-    return b.join(live, "block_id", "left_semi").filter(F.col("key") > least)
+def guessed(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """rows (block_id, idx) with the line's value at their place."""
+    held = lines.select("block_id", F.col("lo").alias("_lo"), F.col("slope").alias("_slope"), F.col("intercept").alias("_intercept"))
+    guess = F.col("_lo") + F.floor(F.col("_intercept") + F.col("_slope") * F.col("idx")).cast("long")
+    return rows.join(held, "block_id").withColumn("guess", guess).drop("_lo", "_slope", "_intercept")
 
 
-def modulo_between(b: DataFrame, base: int, above: int, below: int) -> DataFrame:
-    m = F.pmod("key", F.lit(base))
-    return b.filter((m > above) & (m < below))
+def line_residuals(b: DataFrame, lines: DataFrame) -> DataFrame:
+    """b with the residual of its key: what is stored beside `lines`, without the guess."""
+    return guessed(b, lines).withColumn("residual", F.col("key") - F.col("guess")).drop("guess")
 
 
-def encoded_sum(zone: DataFrame, rest: DataFrame) -> DataFrame:
-    """Sum of a block from its reference and deltas: n * lo + sum(delta)."""
-    d = rest.groupBy("block_id").agg(F.sum("delta").alias("deltas"))
-    return zone.join(d, "block_id").select("block_id", (F.col("n").cast("decimal(38,0)") * F.col("lo") + F.col("deltas")).cast("decimal(38,0)").alias("total"))
+def line_keys(rows: DataFrame, lines: DataFrame, name: str = "key") -> DataFrame:
+    """rows (block_id, idx, residual) with the key that they and the lines stand for."""
+    return guessed(rows, lines).withColumn(name, F.col("guess") + F.col("residual")).drop("guess", "residual")
 
 
 def entropy(df: DataFrame, value: str, part: str) -> DataFrame:

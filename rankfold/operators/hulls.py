@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bits
 from ..session import materialize
-from .encodings import blocks, line_fit, line_residuals
+from .encodings import blocks, guessed, line_fit, line_keys, line_residuals, stored_line
 from .models import first_ranks
 from .ranking import asof, with_pages, with_rank
 
@@ -175,28 +175,32 @@ def elias_fano_bits(n: Column, universe: Column) -> Column:
     return (n * (2 + low)).cast("long")
 
 
-def compress(model: DataFrame, block: int = 256) -> DataFrame:
-    """The stored form: blocks of `block` segments in the order of keys.
+def compress(model: DataFrame, block: int = 256) -> tuple[DataFrame, DataFrame]:
+    """The stored form (lines, rows): blocks of `block` segments in the order of keys.
 
-    Slopes are numbers in a table of distinct ones; first keys are a line and a residual a block;
-    intercepts are deltas to their running maximum in the block, which ascends, with corrections.
+    lines hold a line of first keys, the first rank and the largest error of each block; rows hold a
+    residual of the key, the number of the slope in a table of distinct ones, the ranks that the
+    segment covers, and the intercept as a step of the running maximum, which ascends, and a correction.
     """
     numbers = with_rank(materialize(model.select("slope").distinct(), "slopes"), "slope", name="slope_id")
-    b = blocks(model.select(F.col("first_key").alias("key"), F.col("slope").alias("of_slope"), F.col("intercept").alias("of_rank"), "first_rank", "last_rank", "last_key", "max_err"), block)
+    b = blocks(model.select(F.col("first_key").alias("key"), F.col("slope").alias("of_slope"), F.col("intercept").alias("of_rank"), "first_rank", "last_rank", "max_err"), block)
     b = materialize(b, "model-blocks")
-    coded = line_residuals(b, line_fit(b)).drop("slope", "intercept", "lo", "key")
-    coded = coded.join(numbers.select("slope_id", F.col("slope").alias("of_slope")), "of_slope").drop("of_slope")
+    ends = b.groupBy("block_id").agg(F.min("first_rank").alias("base_rank"), F.max("max_err").alias("max_err"))
+    lines = materialize(stored_line(line_fit(b)).join(ends, "block_id"), "model-lines")
+    coded = line_residuals(b, lines).join(numbers.select("slope_id", F.col("slope").alias("of_slope")), "of_slope")
     w = Window.partitionBy("block_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    top = F.max("of_rank").over(w)
-    coded = coded.withColumn("climb", top).withColumn("correction", top - F.col("of_rank"))
-    return coded.withColumn("step", F.col("climb") - F.coalesce(F.lag("climb").over(Window.partitionBy("block_id").orderBy("idx")), F.lit(0))).drop("climb", "of_rank")
+    coded = coded.withColumn("climb", F.max("of_rank").over(w))
+    before = F.coalesce(F.lag("climb").over(Window.partitionBy("block_id").orderBy("idx")), F.lit(0))
+    return lines, coded.select("block_id", "idx", "residual", "slope_id", (F.col("climb") - before).alias("step"), (F.col("climb") - F.col("of_rank")).alias("correction"), (F.col("last_rank") - F.col("first_rank") + 1).alias("covers"))
 
 
-def decompress(coded: DataFrame, slopes: DataFrame) -> DataFrame:
-    """The model again; `slopes` is (slope_id, slope)."""
+def decompress(lines: DataFrame, rows: DataFrame, slopes: DataFrame) -> DataFrame:
+    """The model again from its stored form and `slopes` (slope_id, slope); errors are those of the blocks."""
     w = Window.partitionBy("block_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    out = coded.join(slopes, "slope_id")
-    return out.select((F.col("guess") + F.col("residual")).alias("first_key"), "last_key", "slope", (F.sum("step").over(w) - F.col("correction")).alias("intercept"), "first_rank", "last_rank", "max_err")
+    out = line_keys(rows, lines, "first_key").join(lines.select("block_id", "base_rank", "max_err"), "block_id").join(slopes, "slope_id")
+    last = F.col("base_rank") + F.sum("covers").over(w) - 1
+    out = out.withColumn("last_rank", last).withColumn("intercept", F.sum("step").over(w) - F.col("correction"))
+    return out.select("first_key", "slope", "intercept", (F.col("last_rank") - F.col("covers") + 1).alias("first_rank"), "last_rank", "max_err")
 
 
 def slope_table(model: DataFrame) -> DataFrame:
@@ -235,10 +239,10 @@ def find_ranks(ranked: DataFrame, probes: DataFrame, model: DataFrame, per_page:
     return probes.join(hits.groupBy("probe").agg(F.min("rank").alias("rank")), "probe", "left").select("probe", "rank")
 
 
-def separators(ranked: DataFrame, per_page: int, block: int = 64) -> DataFrame:
-    """(page_id, separator, residual): for each page any value above the page before and up to its first key.
+def separators(ranked: DataFrame, per_page: int, block: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The stored form (lines, rows: block_id, idx, residual) of a separator for each page: any value above the page before and up to its first key.
 
-    Separators come from a line for each block of pages; the residual is 0 where the line's value is
+    A separator comes from a line for each block of pages; the residual is 0 where the line's value is
     acceptable, else the distance to the nearer bound.  Of keys that run over a page's end, the
     separator names the later page.
     """
@@ -246,10 +250,16 @@ def separators(ranked: DataFrame, per_page: int, block: int = 64) -> DataFrame:
     z = materialize(z, "zones")
     before = z.select((F.col("page_id") + 1).alias("page_id"), F.col("hi").alias("before"))
     z = z.join(before, "page_id", "left").withColumn("block_id", F.expr(f"page_id div {block}")).withColumn("idx", F.expr(f"page_id % {block}"))
-    coded = line_residuals(z, line_fit(z))
+    lines = materialize(stored_line(line_fit(z)), "separator-lines")
+    coded = guessed(z, lines)
     low = F.least(F.coalesce(F.col("before") + 1, F.col("key")), F.col("key"))
     residual = F.when(F.col("guess") < low, low - F.col("guess")).when(F.col("guess") > F.col("key"), F.col("key") - F.col("guess")).otherwise(F.lit(0))
-    return coded.withColumn("residual", residual.cast("long")).select("page_id", "block_id", (F.col("guess") + F.col("residual")).alias("separator"), "residual")
+    return lines, materialize(coded.select("block_id", "idx", residual.cast("long").alias("residual")), "separators")
+
+
+def page_values(lines: DataFrame, rows: DataFrame, name: str, block: int = 64) -> DataFrame:
+    """(page_id, name): the values of separators() or coded_zones(), from their stored form alone."""
+    return line_keys(rows, lines, name).select((F.col("block_id") * block + F.col("idx")).alias("page_id"), name)
 
 
 def page_of(probes: DataFrame, seps: DataFrame) -> DataFrame:
@@ -257,11 +267,12 @@ def page_of(probes: DataFrame, seps: DataFrame) -> DataFrame:
     return asof(probes, seps, "probe", "separator", ["page_id"]).select("probe", "page_id")
 
 
-def coded_zones(ranked: DataFrame, per_page: int, block: int = 64) -> DataFrame:
-    """(page_id, lo, residual): first keys of pages, decoded from a line and a residual in each block of pages."""
+def coded_zones(ranked: DataFrame, per_page: int, block: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The stored form (lines, rows) of the first keys of pages: a line for each block of pages, and residuals."""
     z = materialize(with_pages(ranked, per_page).groupBy("page_id").agg(F.min("key").alias("key")), "zones")
     z = z.withColumn("block_id", F.expr(f"page_id div {block}")).withColumn("idx", F.expr(f"page_id % {block}"))
-    return line_residuals(z, line_fit(z)).select("page_id", (F.col("guess") + F.col("residual")).alias("lo"), "residual")
+    lines = materialize(stored_line(line_fit(z)), "zone-lines")
+    return lines, materialize(line_residuals(z, lines).select("block_id", "idx", "residual"), "coded-zones")
 
 
 def in_page(ranked: DataFrame, asked: DataFrame, per_page: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ranking import asof, with_pages, with_rank, zones
 
 
@@ -20,14 +21,16 @@ def zone_lookup(table: DataFrame, probes: DataFrame, per_page: int = 256) -> Dat
 
 def point_lookup(table: DataFrame, probes: DataFrame, most: int = 100) -> DataFrame:
     """(probe, n, total): how many of at most `most` duplicates qualify, and the sum of their keys; null on a miss."""
-    counts = table.groupBy("key").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"))
+    # Only keys that are asked for are grouped.
+    asked = table.join(probes.select(F.col("probe").alias("key")).distinct(), "key", "left_semi")
+    counts = asked.groupBy("key").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"))
     out = probes.join(counts, probes["probe"] == counts["key"], "left")
     return out.select("probe", "n", (F.col("n") * F.col("key")).cast("decimal(38,0)").alias("total"))
 
 
-def bounds(table: DataFrame, probes: DataFrame) -> DataFrame:
-    """(probe, lower, upper): numbers of keys below, and at most, the probe."""
-    ends = with_rank(table, "key").groupBy("key").agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("stop"))
+def bounds(table: DataFrame, probes: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """(probe, lower, upper): numbers of keys below, and at most, the probe; `ranked` is the table where its ranks are known."""
+    ends = (ranked if ranked is not None else with_rank(table, "key")).groupBy("key").agg(F.min("rank").alias("first"), (F.max("rank") + 1).alias("stop"))
     out = asof(probes, ends, "probe", "key", ["first", "stop"])
     same = F.col("found_key") == F.col("probe")
     return out.select("probe", F.when(same, F.col("first")).otherwise(F.coalesce("stop", F.lit(0))).alias("lower"), F.coalesce("stop", F.lit(0)).alias("upper"))
@@ -35,8 +38,8 @@ def bounds(table: DataFrame, probes: DataFrame) -> DataFrame:
 
 def scan(table: DataFrame, starts: DataFrame, n: int) -> DataFrame:
     """(start, found, total): the first n records from the least key >= start, by ranks and an equi-join."""
-    ranked = with_rank(table, "key", "value")
-    first = bounds(table, starts.select(F.col("start").alias("probe"))).select(F.col("probe").alias("start"), "lower")
+    ranked = materialize(with_rank(table, "key", "value"), "ranked")
+    first = bounds(table, starts.select(F.col("start").alias("probe")), ranked).select(F.col("probe").alias("start"), "lower")
     wanted = first.select("start", F.explode(F.sequence(F.col("lower"), F.col("lower") + (n - 1))).alias("rank"))
     got = wanted.join(ranked.select("rank", "value"), "rank").groupBy("start").agg(F.count(F.lit(1)).alias("found"), F.sum("value").alias("total"))
     return starts.join(got, "start", "left").select("start", F.coalesce("found", F.lit(0)).alias("found"), "total")

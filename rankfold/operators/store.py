@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .tiers import latest_writes
 
 COLUMNS = ("key", "value", "seq", "deleted")
 
@@ -41,25 +42,6 @@ def merge_partitions(static: DataFrame, delta: DataFrame, parts: int) -> DataFra
     return live(static, delta).repartitionByRange(parts, "key").sortWithinPartitions("key")
 
 
-def levels(ops: DataFrame, base: int, buffer_rows: int) -> DataFrame:
-    """ops (seq from 0) with the level of a log-structured store that holds each after all of them."""
-    n = ops.count()
-    cuts, start, left = [], 0, n // buffer_rows
-    level = 0
-    sizes = []
-    while left:
-        sizes.append((level + 1, left % base * base**level * buffer_rows))
-        left //= base
-        level += 1
-    for lvl, size in reversed(sizes):
-        cuts.append((lvl, start, start + size))
-        start += size
-    where = F.lit(0)
-    for lvl, a, b in cuts:
-        where = F.when((F.col("seq") >= a) & (F.col("seq") < b), F.lit(lvl)).otherwise(where)
-    return ops.withColumn("level", where.cast("long"))
-
-
 @dataclass
 class Store:
     """Versions are immutable tables; a merge writes the next one and only then the name moves on."""
@@ -88,10 +70,6 @@ class Store:
 
 def reads_as_of(initial: DataFrame, ops: DataFrame) -> DataFrame:
     """(op_id, key, value) of READ ops: the latest write of the key before the op, else its initial value."""
-    writes = ops.filter("op in ('INSERT', 'UPDATE')").select("key", F.col("op_id").alias("at"), "value", F.lit(False).alias("read"))
-    first = initial.select("key", F.lit(-1).cast("long").alias("at"), "value", F.lit(False).alias("read"))
-    reads = ops.filter("op = 'READ'").select("key", F.col("op_id").alias("at"), F.lit(None).cast("long").alias("value"), F.lit(True).alias("read"))
-    every = writes.unionByName(first).unionByName(reads)
-    w = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    seen = every.withColumn("seen", F.last(F.when(~F.col("read"), F.struct("value")), ignorenulls=True).over(w))
-    return seen.filter("read").select(F.col("at").alias("op_id"), "key", F.col("seen.value").alias("value"))
+    writes = ops.filter("op in ('INSERT', 'UPDATE')").select("key", F.col("op_id").alias("at"), "value")
+    first = initial.select("key", F.lit(-1).cast("long").alias("at"), "value")
+    return latest_writes(ops.filter("op = 'READ'").select("op_id", "key"), writes.unionByName(first))

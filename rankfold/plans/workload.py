@@ -4,31 +4,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import unit
+
 
 def uniform_ranks(spark: SparkSession, n: int, keys: int, step: int = 7919) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("op_id"), (F.col("id") * step % keys).alias("rank"))
 
 
-def _unit(seed: int) -> Column:
-    return (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-
-
 def zipf_ranks(spark: SparkSession, n: int, keys: int, theta: float = 0.99, seed: int = 1, scrambled: bool = False) -> DataFrame:
     """Ranks in [0, keys): the continuous inverse of the Zipf distribution, the most frequent first or scrambled."""
     top = keys ** (1 - theta)
-    rank = F.least(F.floor(F.pow(_unit(seed) * (top - 1) + 1, F.lit(1 / (1 - theta)))) - 1, F.lit(keys - 1)).cast("long")
+    rank = F.least(F.floor(F.pow(unit(F.col("id"), seed) * (top - 1) + 1, F.lit(1 / (1 - theta)))) - 1, F.lit(keys - 1)).cast("long")
     if scrambled:
-        rank = F.pmod(F.xxhash64(rank, F.lit(seed)), F.lit(keys))
+        rank = (rank * 2654435761 + 12345) % keys
     return spark.range(n).select(F.col("id").alias("op_id"), rank.alias("rank"))
 
 
 def hotspot_ranks(spark: SparkSession, n: int, keys: int, hot_keys: float = 0.2, hot_ops: float = 0.9, seed: int = 1) -> DataFrame:
     hot = math.ceil(keys * hot_keys)
-    u = _unit(seed + 1)
-    rank = F.when(_unit(seed) < hot_ops, F.floor(u * hot)).otherwise(hot + F.floor(u * (keys - hot)))
+    u = unit(F.col("id"), seed + 1)
+    rank = F.when(unit(F.col("id"), seed) < hot_ops, F.floor(u * hot)).otherwise(hot + F.floor(u * (keys - hot)))
     return spark.range(n).select(F.col("id").alias("op_id"), F.least(rank, F.lit(keys - 1)).cast("long").alias("rank"))
 
 
@@ -53,7 +51,7 @@ def hard_keys(spark: SparkSession, n: int, local: int, broad: int, piece: int =
     to 2^local, so `broad` sets how hard the keys are at large errors and `local` at small ones.
     """
     def draw(c, salt: int, top: int):
-        return F.pow(F.lit(2.0), F.pmod(F.xxhash64(F.lit(seed + salt), c), F.lit(1 << 20)) / float(1 << 20) * top)
+        return F.pow(F.lit(2.0), unit(c, seed + salt) * top)
 
     at = spark.range(-(-n // piece)).select(F.col("id").alias("p"), F.expr("id div 64").alias("stretch"))
     at = at.withColumn("gap", F.ceil(draw(F.col("stretch"), 0, broad) * draw(F.col("p"), 1, local)).cast("long"))

@@ -60,20 +60,23 @@ def test_segments_of_like_density_share_slopes(spark):
 def test_compressed_models_at_the_edges(spark, data):
     r = ranked_keys(spark, data).persist()
     model = hulls.refit(r, hulls.merge_slopes(hulls.hull_segments(r, 4)), 4).persist()
-    back = hulls.decompress(hulls.compress(model, 8), hulls.slope_table(model))
-    cols = ["first_key", "last_key", "slope", "intercept", "first_rank", "last_rank", "max_err"]
+    lines, rows = hulls.compress(model, 8)
+    assert set(rows.columns) == {"block_id", "idx", "residual", "slope_id", "step", "correction", "covers"}
+    back = hulls.decompress(lines, rows, hulls.slope_table(model))
+    cols = ["first_key", "slope", "intercept", "first_rank", "last_rank"]
     assert back.select(cols).exceptAll(model.select(cols)).count() == 0 and back.count() == model.count()
+    assert back.join(model.select("first_key", F.col("max_err").alias("own")), "first_key").filter("max_err < own").count() == 0
     probes = sorted({*data[:40], -1, 1, (1 << 62) + 1})
     asked = spark.createDataFrame([(p,) for p in probes], "probe long")
     x = np.sort(np.array(data, np.int64))
     want = {p: int(np.searchsorted(x, p)) if p in data else None for p in probes}
-    for buckets in (0, 16):
-        assert {a.probe: a["rank"] for a in hulls.find_ranks(r, asked, back, 16, buckets).collect()} == want
+    for m, buckets in ((back, 0), (model, 16)):
+        assert {a.probe: a["rank"] for a in hulls.find_ranks(r, asked, m, 16, buckets).collect()} == want
 
 
 def test_separators_lie_between_pages(spark):
     r = ranked_keys(spark, np.unique(skewed(3000))).persist()
-    seps = hulls.separators(r, 32).collect()
+    seps = hulls.page_values(*hulls.separators(r, 32), "separator").collect()
     x = {a.page_id: (a.lo, a.hi) for a in r.groupBy(F.expr("rank div 32").alias("page_id")).agg(F.min("key").alias("lo"), F.max("key").alias("hi")).collect()}
     for s in seps:
         assert s.separator <= x[s.page_id][0] and (s.page_id == 0 or s.separator > x[s.page_id - 1][1])

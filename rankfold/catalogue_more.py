@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from .catalogue import _FOUND, EV, ORD, PROBES, PT, _base, _changes, _events, _orders, _points, _probes, _table, query
 from .functions.keys import morton_axis, morton_code
-from .operators import encodings as E
+from .operators import codecs as C
 from .operators import hulls as H
 from .operators import levels as LV
+from .operators.adaptive import Leaves
 from .operators import models as M
 from .operators import packed as P
 from .operators import spatial as S
@@ -607,3 +608,110 @@ for _mix, _case in (("cc", "'INSERT'"), ("aa", "CASE WHEN range % 2 = 0 THEN 'RE
     _run = _final(_mix)
     _run.__name__ = f"ycsb_{_mix}_final_state"
     query(f"WITH {ORD}, n AS (SELECT count(*) AS n FROM ord), o AS (SELECT range AS op_id, {_case} AS op, range * 7919 % n AS k, n FROM range(0, 3000), n), e AS (SELECT key, value, -1 AS w FROM ord UNION ALL SELECT n + k, op_id * 10, op_id FROM o WHERE op = 'INSERT') SELECT key, arg_max(value, w) AS value FROM e GROUP BY key")(_run)
+
+
+# Leaves that split, slack separators, ascending numbers, further lookups.
+
+
+def _leaves(spark, d) -> Leaves:
+    """Every third order loaded, the rest inserted in two batches, and a range erased."""
+    o = materialize(_orders(spark, d), "orders")
+    t = Leaves.load(o.filter("key % 3 = 0"), capacity=64)
+    return t.insert(o.filter("key % 3 = 1")).insert(o.filter("key % 3 = 2 or key % 30 = 0").withColumn("value", F.col("value") + 1)).erase(500, 900)
+
+
+_LEAVES = f"WITH {ORD}, live AS (SELECT key, value + CASE WHEN key % 3 = 2 OR key % 30 = 0 THEN 1 ELSE 0 END AS value FROM ord WHERE NOT (key >= 500 AND key < 900))"
+
+
+@query(f"{_LEAVES} SELECT count(*) AS n, 0::BIGINT AS over_full, 0::BIGINT AS overlapping FROM live")
+def leaf_invariants(spark, d):
+    leaves = materialize(_leaves(spark, d).leaves(), "leaves")
+    after = asof(leaves.select("leaf", "hi", "n", (-F.col("lo")).alias("_d")), leaves.select((-F.col("lo")).alias("_k"), F.col("lo").alias("next")), "_d", "_k", ["next"], strict=True)
+    return after.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 64).alias("over_full"), F.count_if(F.col("next") <= F.col("hi")).alias("overlapping"))
+
+
+@query(f"{_LEAVES}, p AS (SELECT range AS probe FROM range(0, (SELECT 2 * count(*) FROM ord)) WHERE range % 20 = 0) SELECT probe, value FROM p LEFT JOIN live ON key = probe")
+def leaf_find(spark, d):
+    n = _orders(spark, d).count()
+    return _leaves(spark, d).find(spark.range(0, 2 * n, 20).select(F.col("id").alias("probe")))
+
+
+@query(_FOUND)
+def slack_separator_lookup(spark, d):
+    r = _ranked(spark, d)
+    return H.slack_lookup(r, _probes(r), *H.slack_separators(r, 32, 1, 2), 32, 1, 2)
+
+
+@query(f"WITH {EV} SELECT key, rank FROM rk")
+def ascending_round_trip(spark, d):
+    return P.decode_ascending(materialize(P.encode_ascending(P.key_blocks(_events(spark, d), 256)), "ascending")).select("key", "rank")
+
+
+@query(f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS wrong FROM (SELECT DISTINCT rank // 64 AS g FROM rk)")
+def intercept_round_trip(spark, d):
+    """First ranks of granules, as a model's intercepts, kept as ascending numbers and read back."""
+    r = _ranked(spark, d).groupBy(F.expr("rank div 64").alias("g")).agg(F.min("rank").alias("key"))
+    arrays = materialize(P.key_blocks(r.select("key"), 64), "intercepts")
+    back = P.decode_ascending(materialize(P.encode_ascending(arrays), "ascending")).withColumnRenamed("rank", "g")
+    return r.withColumnRenamed("key", "own").join(back, "g", "left").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("own").eqNullSafe(F.col("key"))).alias("wrong"))
+
+
+@query("WITH r AS (SELECT l_orderkey::BIGINT AS key, row_number() OVER (ORDER BY l_orderkey) - 1 AS rank FROM lineitem), p AS (SELECT DISTINCT key AS probe FROM r WHERE key % 20 = 0) SELECT probe, min(rank) AS rank FROM p JOIN r ON key = probe GROUP BY probe")
+def radix_multimap_lookup(spark, d):
+    """First entries of keys with several, through a spline and its radix table."""
+    t = _table(spark, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("key"))
+    r = materialize(with_rank(t, "key"), "ranked")
+    return TU.radix_lookup(r, t.filter("key % 20 = 0").select(F.col("key").alias("probe")).distinct(), materialize(M.segments(r, 16, spline=True), "model"))
+
+
+@query(f"WITH {EV}, n AS (SELECT count(*) AS n FROM ev), w AS (SELECT key, greatest(rank - 300, 0) // 256 AS p0, least(rank + 420, n - 1) // 256 AS p1, n FROM rk, n WHERE rank % 20 = 0) SELECT key, (p1 - p0 + 1)::BIGINT AS pages, (least((p1 + 1) * 256, n) - p0 * 256)::BIGINT AS records FROM w")
+def fetched_records(spark, d):
+    """The pages of each search window joined with the table of pages: what a worst-case fetch brings."""
+    r = materialize(with_pages(_ranked(spark, d), 256), "paged")
+    n = r.count()
+    low, high = F.greatest(F.col("rank") - 300, F.lit(0)), F.least(F.col("rank") + 420, F.lit(n - 1))
+    wanted = r.filter("rank % 20 = 0").withColumn("low", low).withColumn("high", high).select("key", F.explode(F.expr("sequence(low div 256, high div 256)")).alias("page_id"))
+    got = wanted.join(zones(r).select("page_id", "n"), "page_id")
+    return got.groupBy("key").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").alias("records"))
+
+
+@query(f"{_LOAD}, p AS (SELECT range AS probe FROM range(0, (SELECT 2 * count(*) FROM ord)) WHERE range % 20 = 0) SELECT probe, value FROM p LEFT JOIN live ON key = probe")
+def merged_and_refitted_lookup(spark, d):
+    """A merge writes the static part anew, and the model is fitted to it: lookups go through that model."""
+    store = ST.Store(_base(spark, d), budget_rows=ST.budget_rows(40_000, 8_000)).apply(_changes(spark, d)).merge()
+    data = materialize(store.rows().select("key", "value"), "merged")
+    r = materialize(with_rank(data, "key"), "ranked")
+    n = _orders(spark, d).count()
+    probes = spark.range(0, 2 * n, 20).select(F.col("id").alias("probe"))
+    ranks = H.find_ranks(r, probes, materialize(H.hull_segments(r, 32), "model"))
+    return ranks.join(r.select("rank", "value"), "rank", "left").select("probe", "value")
+
+
+@query("WITH m AS (SELECT l_partkey::BIGINT AS key, l_orderkey::BIGINT AS value, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS i FROM lineitem) SELECT key, count(*) AS n, min(value) AS first_value FROM m WHERE NOT (key % 5 = 0 AND i = 1) AND key % 7 <> 0 GROUP BY key")
+def multimap_erase(spark, d):
+    """Of some keys the first entry is erased, of others all; what is left keeps its order."""
+    t = _table(spark, d, "lineitem").select(F.col("l_partkey").cast("long").alias("key"), F.col("l_orderkey").cast("long").alias("value"), "l_linenumber")
+    t = t.filter("key % 7 <> 0")
+    first = t.filter("key % 5 = 0").groupBy("key").agg(F.min(F.struct("value", "l_linenumber")).alias("f")).select("key", "f.*")
+    left = t.join(first, ["key", "value", "l_linenumber"], "left_anti")
+    return left.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_value"))
+
+
+_FORMS = ", ".join(f"('{f}')" for f in C.FORMS)
+
+
+@query(f"SELECT form, c_name AS text, c_name AS back FROM customer, (VALUES {_FORMS}) v(form)")
+def text_forms_round_trip(spark, d):
+    """Names as integers in three forms, and back."""
+    chars = "".join(chr(c) for c in range(32, 127))
+    return C.text_forms(_table(spark, d, "customer"), "c_name", chars, 32).select("form", "text", "back")
+
+
+@query(f"SELECT form, count(*) AS n, 0::BIGINT AS disordered FROM customer, (VALUES {_FORMS}) v(form) GROUP BY 1")
+def text_forms_keep_order(spark, d):
+    """The integers of texts are in the order of the texts."""
+    chars = "".join(chr(c) for c in range(32, 127))
+    made = C.text_forms(_table(spark, d, "customer"), "c_name", chars, 32)
+    by_text = materialize(with_rank(made.select("form", "text", "code", F.length("code").alias("digits")), "form", "text", name="a"), "by-text")
+    both = with_rank(by_text, "form", "digits", "code", name="b")
+    return both.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("disordered"))

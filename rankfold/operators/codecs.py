@@ -140,6 +140,53 @@ def to_text(n: int, chars: str, width: int) -> str:
     return "".join(reversed(out))
 
 
+def ascii_to_integer(text: str, width: int) -> int:
+    """Seven bits a character, zero for padding; order-keeping among ASCII texts of `width` characters at most."""
+    n = 0
+    for i in range(width):
+        n = n << 7 | (ord(text[i]) if i < len(text) else 0)
+    return n
+
+
+def integer_to_ascii(n: int, width: int) -> str:
+    return "".join(chr(c) for i in reversed(range(width)) if (c := n >> 7 * i & 127))
+
+
+def shifted_to_integer(text: str, least: str, greatest: str, width: int) -> int:
+    """Digits are distances from the least character of a range, one more than that; zero pads."""
+    base, n = ord(greatest) - ord(least) + 2, 0
+    for i in range(width):
+        n = n * base + (ord(text[i]) - ord(least) + 1 if i < len(text) else 0)
+    return n
+
+
+def integer_to_shifted(n: int, least: str, greatest: str, width: int) -> str:
+    base, out = ord(greatest) - ord(least) + 2, []
+    for _ in range(width):
+        n, digit = divmod(n, base)
+        if digit:
+            out.append(chr(ord(least) + digit - 1))
+    return "".join(reversed(out))
+
+
+FORMS = ("ascii", "subset", "shifted")
+
+
+def text_forms(texts: DataFrame, column: str, chars: str, width: int) -> DataFrame:
+    """(form, text, code, back) of ASCII texts over `chars`, of `width` characters at most: integers as decimal strings, and the texts that they give."""
+    least, greatest = min(chars), max(chars)
+    to = {"ascii": lambda t: ascii_to_integer(t, width), "subset": lambda t: to_integer(t, chars, width), "shifted": lambda t: shifted_to_integer(t, least, greatest, width)}
+    of = {"ascii": lambda n: integer_to_ascii(n, width), "subset": lambda n: to_text(n, chars, width), "shifted": lambda n: integer_to_shifted(n, least, greatest, width)}
+
+    def made(batches):
+        for x in batches:
+            for form in FORMS:
+                codes = [to[form](t) for t in x["text"]]
+                yield pd.DataFrame({"form": form, "text": x["text"], "code": [str(c) for c in codes], "back": [of[form](c) for c in codes]})
+
+    return texts.select(F.col(column).alias("text")).mapInPandas(made, "form string, text string, code string, back string")
+
+
 STRINGS = "block_id long, prefix string, chars string, width int, base string, slope string, n long, codes array<string>"
 
 

@@ -257,6 +257,35 @@ def separators(ranked: DataFrame, per_page: int, block: int = 64) -> tuple[DataF
     return lines, materialize(coded.select("block_id", "idx", residual.cast("long").alias("residual")), "separators")
 
 
+def slack_separators(ranked: DataFrame, per_page: int, fix: int, slide: int, block: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The stored form (lines, rows) of one separator for each group of fix + slide pages, free to lie in the `slide` pages before it.
+
+    A probe at or above a group's separator is on the group's pages or on those it may slide over.
+    """
+    group = fix + slide
+    z = with_pages(ranked, per_page).groupBy("page_id").agg(F.min("key").alias("key"))
+    z = materialize(z, "zones")
+    starts = z.filter(F.col("page_id") % group == 0).select(F.expr(f"page_id div {group}").alias("g"), "key")
+    early = z.select(F.expr(f"(page_id + {slide}) div {group}").alias("g"), F.col("key").alias("early"), (F.col("page_id") + slide).alias("p")).filter(F.col("p") % group == 0).drop("p")
+    z = starts.join(early, "g", "left").withColumn("block_id", F.expr(f"g div {block}")).withColumn("idx", F.expr(f"g % {block}"))
+    lines = materialize(stored_line(line_fit(z)), "slack-lines")
+    coded = guessed(z, lines)
+    low = F.coalesce("early", "key")
+    residual = F.when(F.col("guess") < low, low - F.col("guess")).when(F.col("guess") > F.col("key"), F.col("key") - F.col("guess")).otherwise(F.lit(0))
+    return lines, materialize(coded.select("block_id", "idx", residual.cast("long").alias("residual")), "slack-rows")
+
+
+def slack_lookup(ranked: DataFrame, probes: DataFrame, lines: DataFrame, rows: DataFrame, per_page: int, fix: int, slide: int, block: int = 64) -> DataFrame:
+    """(probe, rank) through slack_separators(): a probe reads its group and the `slide` pages before it."""
+    seps = page_values(lines, rows, "separator", block).withColumnRenamed("page_id", "g")
+    at = asof(probes, seps, "probe", "separator", ["g"]).filter("g is not null")
+    first, last = F.greatest(F.col("g") * (fix + slide) - slide, F.lit(0)), (F.col("g") + 1) * (fix + slide) - 1
+    wanted = at.select("probe", F.explode(F.sequence(first, last)).alias("page_id"))
+    paged = with_pages(ranked, per_page).select(F.col("key").alias("probe"), "page_id", "rank")
+    hits = wanted.join(paged, ["probe", "page_id"]).groupBy("probe").agg(F.min("rank").alias("rank"))
+    return probes.join(hits, "probe", "left").select("probe", "rank")
+
+
 def page_values(lines: DataFrame, rows: DataFrame, name: str, block: int = 64) -> DataFrame:
     """(page_id, name): the values of separators() or coded_zones(), from their stored form alone."""
     return line_keys(rows, lines, name).select((F.col("block_id") * block + F.col("idx")).alias("page_id"), name)

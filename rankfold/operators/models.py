@@ -45,31 +45,36 @@ def first_ranks(ranked: DataFrame) -> DataFrame:
     return ends.repartitionByRange("key").sortWithinPartitions("key")
 
 
-def segments(ranked: DataFrame, eps: int, page: int = 0, spline: bool = False) -> DataFrame:
+def segments(ranked: DataFrame, eps: int, page: int = 0, spline: bool = False, most: int = 1 << 20) -> DataFrame:
     """SEGMENT rows: |first_rank + slope * (key - first_key) - rank| <= max_err, as measured.
 
     page > 0: any rank on the key's page, widened by eps, is as good (error-bound alignment).
     spline: a segment runs through its last key's rank, so that segments join; one more key is its knot.
+    Keys are fitted as they arrive; a segment has about `most` keys at most, which bounds a worker's memory.
     """
 
     def fit(batches):
-        held = list(batches)
-        x = pd.concat(held) if held else pd.DataFrame({"key": [], "rank": [], "last": []})
-        keys, y, last = (x[c].to_numpy(np.int64) for c in ("key", "rank", "last"))
-        if page:
-            low, high = y // page * page - eps, (y // page + 1) * page - 1 + eps
-        else:
-            low, high = y - eps, y + eps
-        rows, at = [], 0
-        while at < len(keys):
-            stop, slope = cone(keys, low, high, y, at, spline)
-            end = stop
-            if spline and stop - at > 1:
-                slope = float(y[stop - 1] - y[at]) / float(keys[stop - 1] - keys[at])
-            guess = np.floor(y[at] + slope * (keys[at:stop] - keys[at]).astype(float)).astype(np.int64)
-            rows.append((keys[at], slope, y[at], last[end - 1], int(np.abs(guess - y[at:stop]).max())))
-            at = stop
-        yield pd.DataFrame(rows, columns=["first_key", "slope", "first_rank", "last_rank", "max_err"])
+        keys, y, last = (np.zeros(0, np.int64) for _ in range(3))
+        ended = False
+        batches = iter(batches)
+        while not ended:
+            batch = next(batches, None)
+            ended = batch is None
+            if batch is not None:
+                keys, y, last = (np.concatenate([have, batch[c].to_numpy(np.int64)]) for have, c in ((keys, "key"), (y, "rank"), (last, "last")))
+            low, high = (y // page * page - eps, (y // page + 1) * page - 1 + eps) if page else (y - eps, y + eps)
+            rows, at = [], 0
+            while at < len(keys):
+                stop, slope = cone(keys, low, high, y, at, spline)
+                if stop == len(keys) and not ended and stop - at < most:
+                    break  # the next keys may lie on this line too
+                if spline and stop - at > 1:
+                    slope = float(y[stop - 1] - y[at]) / float(keys[stop - 1] - keys[at])
+                guess = np.floor(y[at] + slope * (keys[at:stop] - keys[at]).astype(float)).astype(np.int64)
+                rows.append((keys[at], slope, y[at], last[stop - 1], int(np.abs(guess - y[at:stop]).max())))
+                at = stop
+            keys, y, last = keys[at:], y[at:], last[at:]
+            yield pd.DataFrame(rows, columns=["first_key", "slope", "first_rank", "last_rank", "max_err"])
 
     return first_ranks(ranked).mapInPandas(fit, SEGMENT)
 

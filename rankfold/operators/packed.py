@@ -145,6 +145,25 @@ def unrans(data: bytes) -> bytes:
     return bytes(out)
 
 
+def elias_fano(values: np.ndarray) -> tuple[int, bytes, bytes]:
+    """(low bits, low parts packed, high parts) of ascending non-negative numbers: high parts are unary, a set bit for each number."""
+    n = len(values)
+    if not n:
+        return 0, b"", b""
+    low = max(0, (int(values[-1]) + 1).bit_length() - n.bit_length())
+    at = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    high = np.zeros(int(at[-1]) + 1, np.uint8)
+    high[at] = 1
+    return low, pack(values & np.uint64((1 << low) - 1), low), np.packbits(high, bitorder="little").tobytes()
+
+
+def from_elias_fano(low: int, packed: bytes, high: bytes, n: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+    """Numbers start..stop: the place of a set bit less its number is the high part."""
+    stop = n if stop is None else stop
+    at = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))[start:stop]
+    return ((at - np.arange(start, stop)).astype(np.uint64) << np.uint64(low)) | unpack(packed, low, start, stop)
+
+
 # Models.
 
 
@@ -283,6 +302,33 @@ def encode(arrays: DataFrame, codec: str | list[str] = "line") -> DataFrame:
     return arrays.mapInArrow(made, ENCODED)
 
 
+ASCENDING = "block_id long, first_rank long, n int, base long, low int, packed binary, high binary"
+
+
+def encode_ascending(arrays: DataFrame) -> DataFrame:
+    """ASCENDING rows of (block_id, first_rank, keys) with ascending keys, as two parts of their bits."""
+
+    def made(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                keys = np.array(r["keys"], np.int64)
+                rows.append((r["block_id"], r["first_rank"], len(keys), int(keys[0]), *elias_fano((keys - keys[0]).view(np.uint64))))
+            frame = pd.DataFrame(rows, columns=[c.split()[0] for c in ASCENDING.split(", ")])
+            yield pa.RecordBatch.from_pandas(frame.astype({"n": "int32", "low": "int32"}), preserve_index=False)
+
+    return arrays.select("block_id", "first_rank", "keys").mapInArrow(made, ASCENDING)
+
+
+def decode_ascending(encoded: DataFrame) -> DataFrame:
+    """(rank, key) of ASCENDING rows."""
+
+    def what(r):
+        return r["first_rank"] + np.arange(r["n"]), r["base"] + from_elias_fano(r["low"], r["packed"], r["high"], r["n"]).view(np.int64)
+
+    return _over_rows(encoded, "rank long, key long", what)
+
+
 def stored_bytes(encoded: DataFrame) -> DataFrame:
     """(codec, blocks, n, n_bytes): payloads, and 30 bytes for the zone and the model of a block."""
     size = F.sum(F.octet_length("payload") + 30).cast("long")

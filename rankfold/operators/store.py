@@ -32,6 +32,13 @@ def split(ranked: DataFrame, n: int, buffered: int = 100) -> DataFrame:
     return ranked.withColumn("in_buffer", (F.col("rank") % step == 0) & (F.expr(f"rank div {step}") < buffered))
 
 
+def budget_rows(budget_bytes: int, model_bytes: int, record_bytes: int = 16) -> int:
+    """Rows that a buffer may hold: what the model of the static part leaves of the budget."""
+    if budget_bytes <= model_bytes:
+        raise ValueError(f"a budget of {budget_bytes} bytes does not hold a model of {model_bytes}")
+    return (budget_bytes - model_bytes) // record_bytes
+
+
 def update_existing(static: DataFrame, changes: DataFrame) -> DataFrame:
     """static (key, value) with the values of changes (key, new_value) whose keys exist."""
     return static.join(changes, "key", "left").select("key", F.coalesce("new_value", "value").alias("value"), F.col("new_value").isNotNull().alias("updated"))

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankfold.functions.keys import morton_axis, morton_code
-from rankfold.operators import levels, packed, spatial, tiers, tuning
+from rankfold.operators import codecs, hulls, levels, packed, spatial, store, tiers, tuning
+from rankfold.operators.adaptive import Leaves
 from rankfold.operators.ranking import with_rank
 from rankfold.plans import generators
 
@@ -190,3 +191,54 @@ def test_generated_distributions(spark):
     b = np.array([r.key for r in generators.binomial_keys(spark, n).collect()])
     g = np.array([r.key for r in generators.geometric_keys(spark, n).collect()])
     assert abs(b.mean() - 16) < 0.2 and abs(g.mean() - 99) < 5
+
+
+def test_leaves_follow_a_dictionary(spark):
+    random, want = np.random.default_rng(12), {}
+    leaves = Leaves.load(spark.createDataFrame([], "key long, value long"), capacity=16)
+    for k in range(5):
+        # The last batches all go to one place.
+        batch = [(int(v), k * 1000 + i) for i, v in enumerate(random.integers(0, 400, 60) if k < 3 else range(200 + 50 * k, 290 + 50 * k))]
+        leaves = leaves.insert(spark.createDataFrame([*batch, (None, 0)], "key long, value long"))
+        for key in {b[0] for b in batch}:
+            want[key] = max(v for b, v in batch if b == key)
+        if k == 2:
+            leaves = leaves.erase(100, 150)
+            want = {a: v for a, v in want.items() if not 100 <= a < 150}
+    assert {r.key: r.value for r in leaves.rows.collect()} == want and leaves.splits > 0
+    held = sorted((r.leaf, r.lo, r.hi, r.n) for r in leaves.leaves().collect())
+    assert all(n <= 16 for *_, n in held) and all(a[2] < b[1] for a, b in itertools.pairwise(held))
+    probes = spark.createDataFrame([(p,) for p in range(-3, 500, 3)], "probe long")
+    assert {r.probe: r.value for r in leaves.find(probes).collect()} == {p: want.get(p) for p in range(-3, 500, 3)}
+
+
+def test_ascending_numbers_in_two_parts():
+    random = np.random.default_rng(3)
+    for n in (1, 2, 50, 300):
+        for top in (1, 1000, 1 << 40):
+            x = np.sort(random.integers(0, top, n)).astype(np.uint64)
+            low, packed_, high = packed.elias_fano(x)
+            assert (packed.from_elias_fano(low, packed_, high, n) == x).all()
+            assert (packed.from_elias_fano(low, packed_, high, n, n // 3, n // 2 + 1) == x[n // 3 : n // 2 + 1]).all()
+            assert 8 * (len(packed_) + len(high)) <= n * (max(0, int(top).bit_length() - n.bit_length()) + 5) + 32
+
+
+@pytest.mark.parametrize(("fix", "slide"), [(0, 1), (1, 1), (2, 3)])
+def test_slack_separators_find_every_key(spark, fix, slide):
+    keys = np.unique(np.random.default_rng(42).lognormal(0, 2, 2000) * 1e6).astype(np.int64)
+    r = with_rank(spark.createDataFrame([(int(v),) for v in np.unique(keys)], "key long"), "key").persist()
+    probes = r.select(F.col("key").alias("probe")).union(r.select(F.col("key") + 1))
+    got = {x.probe: x["rank"] for x in hulls.slack_lookup(r, probes, *hulls.slack_separators(r, 16, fix, slide), 16, fix, slide).collect()}
+    want = {x.key: x["rank"] for x in r.collect()}
+    assert got == {p: want.get(p) for k in want for p in (k, k + 1)}
+
+
+def test_text_forms_and_budget():
+    random = np.random.default_rng(5)
+    texts = sorted({"".join(random.choice(list("abcxyz "), random.integers(0, 9))) for _ in range(200)})
+    ascii_, shifted = [codecs.ascii_to_integer(t, 8) for t in texts], [codecs.shifted_to_integer(t, " ", "z", 8) for t in texts]
+    assert ascii_ == sorted(ascii_) and shifted == sorted(shifted)
+    assert [codecs.integer_to_ascii(n, 8) for n in ascii_] == texts == [codecs.integer_to_shifted(n, " ", "z", 8) for n in shifted]
+    assert store.budget_rows(1000, 200) == 50
+    with pytest.raises(ValueError):
+        store.budget_rows(10, 10)

@@ -1,9 +1,10 @@
 """Vectorised words and window hashes over the bytes of Arrow string columns.
 
-Texts stay in their Arrow buffer: words are found with byte masks, distinct words of a slice are
-hashed by XXH3 (128 bits), and a window's hash chains the hashes of its words through a non-linear
-mixing step, so that no algebraic relation between words carries over to windows.  No Python
-object is made for a word that was seen before in its slice.
+Texts stay in their Arrow buffer: words are found with byte masks and hashed eight bytes at a time
+through a non-linear mixing step (so words of eight bytes or fewer never collide with others of
+their length), words of over LONG bytes by XXH3.  A window's hash chains the hashes of its words
+through such steps too, so that no algebraic relation between words carries over to windows.  No
+Python object is made for a word, except for the long ones.
 """
 
 from __future__ import annotations
@@ -24,10 +25,15 @@ LOWERED = np.frombuffer(bytes(range(256)).translate(bytes.maketrans(UPPER.encode
 SLICE = 1 << 19
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers."""
-    h = (h ^ (h >> U64(31))) * U64(0x7FB5D329728EA185)
-    h = (h ^ (h >> U64(27))) * U64(0x81DADEF4BC2DD44D)
+#: Bytes above which a word is hashed by XXH3.
+LONG = 256
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+
+
+def mix(h: np.ndarray, first: int = 0x7FB5D329728EA185, then: int = 0x81DADEF4BC2DD44D) -> np.ndarray:
+    """A bijection of 64-bit numbers, one for each pair of odd multipliers."""
+    h = (h ^ (h >> U64(31))) * U64(first)
+    h = (h ^ (h >> U64(27))) * U64(then)
     return h ^ (h >> U64(33))
 
 
@@ -113,18 +119,25 @@ class Words:
     data: np.ndarray
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of every word, the halves of its XXH3."""
+        """Two 64-bit hashes of every word, by unlike functions."""
         n = len(self.starts)
         if not n:
             return np.zeros(0, U64), np.zeros(0, U64)
-        solid = self.data[~SPACE[self.data]]
-        offsets = np.zeros(n + 1, np.int64)
-        np.cumsum(self.stops - self.starts, out=offsets[1:])
-        held = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
-        digest = xxhash.xxh3_128_digest
-        known = np.frombuffer(b"".join([digest(w) for w in held.dictionary.to_pylist()]), U64).reshape(-1, 2)
-        at = held.indices.to_numpy()
-        return known[at, 0], known[at, 1]
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        # Every place of the text as the eight bytes from there on.
+        eights = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+        size = self.stops - self.starts
+        one, two = size.astype(U64) * U64(0x9E3779B97F4A7C15), size.astype(U64) * U64(0xC2B2AE3D27D4EB4F) + U64(1)
+        at, k = np.flatnonzero(size <= LONG), 0
+        while len(at):
+            left = size[at] - k
+            part = eights[self.starts[at] + k] & MASKS[np.minimum(left, 8)]
+            one[at] = mix(one[at] ^ part)
+            two[at] = mix(two[at] + part, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+            at, k = at[left > 8], k + 8
+        for i in np.flatnonzero(size > LONG).tolist():
+            one[i], two[i] = np.frombuffer(xxhash.xxh3_128_digest(self.data[self.starts[i] : self.stops[i]].tobytes()), U64)
+        return one, two
 
     def inside(self, width: int) -> np.ndarray:
         """For every start of `width` words in the slice, whether the window stays in its row."""

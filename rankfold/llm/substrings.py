@@ -7,8 +7,8 @@ Each batch of documents is reduced to winnowed fingerprints: every position whos
 is the least of some window, so that equal windows always share a fingerprint.  They become one
 run of the index: rows (fp, rk, m) - fingerprint, row key, times in the row - sorted by
 fingerprint and never changed.  A batch's run is merge-joined with the runs before it; only
-windows around fingerprints that occur twice or more are hashed in full (64 bits, and 64 more from
-other halves of the words' hashes that verify them), and the first of equal ones stays.  When more
+windows around fingerprints that occur twice or more are hashed in full (64 bits, and 64 more of an
+unlike function that verify them), and the first of equal ones stays.  When more
 than `fanout` runs have piled up, they are compacted into one.
 
 Windows are dealt to shards by their fingerprint, so that the repeats around one come back as one
@@ -38,6 +38,8 @@ from .common import Scratch, small_batches, spread, table
 from .rolling import chain, mix, sliding, word_slices
 
 NO_ID = -(1 << 63)
+#: Groups of marks that need no comparison, numbered after all shards.
+MARKED = 256
 PAYLOAD = "shard int, docs binary, rks binary, fresh binary, firsts binary, h binary, c binary, at binary"
 MARKS = "doc long, rk long, span long"  # span: first start << 32 | number of starts
 #: Occurrences from which on a fingerprint's windows are dealt by their own hashes, to so many salted shards each.
@@ -130,7 +132,7 @@ def candidate_windows(docs: DataFrame, width: int, gram: int, shards: int) -> Da
                     cut = np.flatnonzero(np.concatenate([[True], da[1:] != da[:-1]]))
                     for a, b in zip(cut, np.append(cut[1:], len(da)), strict=True):
                         x = row + da[a]
-                        yield _mark(int(rk[x]) % shards, doc[x], rk[x], pa_[a:b])
+                        yield _mark(shards * (1 + SALTS) + int(rk[x]) % MARKED, doc[x], rk[x], pa_[a:b])
                 h, c, at = h[new], c[new], at[new]
                 salted = np.isin(least[at].view(np.int64), np.unique(hot.slice(row, stop - row).flatten().to_numpy()))
                 by = np.where(salted, h, mix(least[at] ^ np.uint64(1)))
@@ -248,7 +250,7 @@ class Index:
     width: int = 20
     gram: int = 8
     fanout: int = 4
-    shard_bytes: int = 8 << 20
+    shard_bytes: int = 4 << 20
     runs: list[tuple[str, DataFrame]] = field(default_factory=list)
     marks: list[DataFrame] = field(default_factory=list)
     made: int = 0
@@ -326,7 +328,7 @@ def _removed(width: int):
     return F.pandas_udf(cut, "n_words long, n_removed long, kept string")
 
 
-def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 20, gram: int = 8, batches: int = 2, keep=(), scratch: Scratch | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", width: int = 20, gram: int = 8, batches: int = 3, fanout: int = 1, keep=(), scratch: Scratch | None = None) -> DataFrame:
     """doc_id, the columns `keep`, n_words, n_removed and kept (the words that stay, joined by a space).
 
     The rows are added to a new index in `batches` ranges of their ids, the smallest ids first.
@@ -339,7 +341,7 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", width:
     keyed = spread(keyed)
     cuts = keyed.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    index = Index(scratch, width, gram)
+    index = Index(scratch, width, gram, fanout)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = keyed
         if low is not None:

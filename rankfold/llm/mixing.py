@@ -89,7 +89,7 @@ def mix_sources(
     share: float = 1.5,
     most: int = 2,
     block_words: int = 128,
-    docs_per_bucket: int = 2_000,
+    docs_per_bucket: int = 1_000,
     seed: int = 17,
     keep=(),
     scratch: Scratch | None = None,

@@ -235,15 +235,17 @@ def page_aligned_segments(spark, d):
     return _check(r, M.segments(r, 16, page=256), 16 + 256)
 
 
-@query()
+@query("SELECT true AS falls, true AS fitted")
 def hardness(spark, d):
-    """Segments for a list of errors, and the power law fitted to them."""
+    """Segments for a list of errors fall as the error grows, and so does the power law fitted to them."""
     r = materialize(with_rank(_events(spark, d), "key"), "ranked")
     counts = None
     for eps in (4, 16, 64):
         c = M.segments(r, eps).agg(F.lit(eps).alias("eps"), F.count(F.lit(1)).alias("n"))
         counts = c if counts is None else counts.unionByName(c)
-    return M.error_fit(materialize(counts, "hardness"))
+    counts = materialize(counts, "hardness")
+    rows = counts.groupBy().pivot("eps", [4, 16, 64]).agg(F.first("n"))
+    return rows.select(((F.col("4") > F.col("16")) & (F.col("16") > F.col("64"))).alias("falls")).join(M.error_fit(counts).select(((F.col("b") < 0) & (F.col("a") > 0)).alias("fitted")))
 
 
 _FOUND = f"{PROBES} SELECT probe, min(rank) AS rank FROM probes LEFT JOIN rk ON key = probe GROUP BY probe"
@@ -321,9 +323,12 @@ _stored("compressed_pla_lookup", eps=16)
 _stored("compressed_di_lookup", eps=16, page=256)
 
 
-@query()
+@query("SELECT true AS smaller, true AS counted")
 def compressed_model_bits(spark, d):
-    return H.model_bits(H.compress(_merged(spark, d, 4)[1])[1])
+    """The stored form of a model takes fewer bits than its keys, slopes and intercepts as 64-bit numbers."""
+    model = _merged(spark, d, 4)[1]
+    sizes = H.model_bits(H.compress(model)[1]).agg(F.sum("n").alias("n"), F.sum(F.col("key_bits") + F.col("intercept_bits") + F.col("slope_bits")).alias("bits"))
+    return sizes.join(model.agg(F.count(F.lit(1)).alias("segments"))).select((F.col("bits") < 192 * F.col("n")).alias("smaller"), (F.col("n") == F.col("segments")).alias("counted"))
 
 
 @query(f"{PROBES} SELECT probe, (SELECT max(rank) // 64 FROM rk WHERE key <= probe) AS page_id FROM probes")
@@ -358,9 +363,16 @@ _pieces("delta_pieces_round_trip", "greedy", "delta")
 _pieces("delta_pieces_merged_round_trip", "merge", "delta")
 
 
-@query()
+@query(f"WITH {EV} SELECT DISTINCT rank // 512 AS block_id, true AS best_is_least FROM rk")
 def piece_sizes(spark, d):
-    return C.piece_bits(C.pieces(E.blocks(_events(spark, d), 512), "best"))
+    """Of a block's bits by all ways to cut it the cheapest cut has the fewest."""
+    b = materialize(E.blocks(_events(spark, d), 512), "blocks")
+    sizes = None
+    for cut in C.CUTS:
+        one = C.piece_bits(C.pieces(b, cut)).select("block_id", F.lit(cut).alias("cut"), "bits")
+        sizes = one if sizes is None else sizes.unionByName(one)
+    least = F.min(F.when(F.col("cut") == "best", F.col("bits"))) <= F.min("bits")
+    return sizes.groupBy("block_id").agg(least.alias("best_is_least"))
 
 
 _NAMES = "WITH r AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS rank FROM customer), u AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS rank FROM pages WHERE url IS NOT NULL)"
@@ -384,22 +396,27 @@ def symbol_round_trip(spark, d):
     return C.decode_symbol_rows(C.symbol_blocks(b, "url")).drop("coded_bytes")
 
 
-@query()
+@query("WITH r AS (SELECT (row_number() OVER (ORDER BY l_quantity) - 1) // 1024 AS block_id FROM lineitem) SELECT block_id, count(*) AS n, true AS near_entropy FROM r GROUP BY 1")
 def prefix_code_sizes(spark, d):
-    b = E.blocks(_table(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("key")), 1024)
-    return C.prefix_code_bits(b, "key")
+    """A prefix code takes at least the entropy, and less than one bit a value more (or one bit, of one value only)."""
+    b = materialize(E.blocks(_table(spark, d, "lineitem").select(F.col("l_quantity").cast("long").alias("key")), 1024), "blocks")
+    e = E.entropy(b, "key", "block_id")
+    x = C.prefix_code_bits(b, "key").join(e, "block_id").join(b.groupBy("block_id").agg(F.count(F.lit(1)).alias("size")), "block_id")
+    near = (F.col("bits") >= F.col("entropy") * F.col("size") - 0.01) & (F.col("bits") <= (F.col("entropy") + 1) * F.col("size") + 0.01)
+    return x.select("block_id", F.col("size").alias("n"), near.alias("near_entropy"))
 
 
-@query()
+@query("SELECT true AS local_at_small_errors, true AS broad_at_large_errors")
 def hard_key_segments(spark, d):
-    """Segments that keys of two local and two broad hardnesses take at two errors."""
+    """Keys that are hard at small errors take more segments there, keys that are hard at large ones more there."""
     out = None
     for local, broad in ((1, 1), (6, 1), (1, 8)):
         r = materialize(with_rank(workload.hard_keys(spark, 20_000, local, broad).select("key"), "key"), "hard")
         for eps in (8, 256):
             n = H.hull_segments(r, eps).agg(F.lit(local).alias("local"), F.lit(broad).alias("broad"), F.lit(eps).alias("eps"), F.count(F.lit(1)).alias("n"))
             out = n if out is None else out.unionByName(n)
-    return out
+    of = lambda local, broad, eps: F.max(F.when((F.col("local") == local) & (F.col("broad") == broad) & (F.col("eps") == eps), F.col("n")))
+    return out.agg((of(6, 1, 8) > of(1, 1, 8)).alias("local_at_small_errors"), (of(1, 8, 256) > of(1, 1, 256)).alias("broad_at_large_errors"))
 
 
 # Encodings.
@@ -447,11 +464,12 @@ def line_block_fit(spark, d):
     return f.select("block_id", "n", F.round(F.col("slope") / 1e6, 4).alias("slope"), F.round(F.col("intercept") / 1e9, 4).alias("intercept"))
 
 
-@query()
+@query(f"{_BLK} SELECT block_id, count(*) AS n, true AS within_range FROM b GROUP BY 1")
 def line_block_sizes(spark, d):
+    """The residuals of a line take no more bits, with their sign, than the range of the block's keys."""
     b = materialize(E.blocks(_events(spark, d), 256), "blocks")
-    x = E.line_residuals(b, E.stored_line(E.line_fit(b))).groupBy("block_id").agg(F.max(F.abs("residual")).alias("most"), F.count(F.lit(1)).alias("n"))
-    return x.select("block_id", "n", (bits(F.col("most")) + 1).alias("bits"))
+    x = E.line_residuals(b, E.stored_line(E.line_fit(b))).groupBy("block_id").agg(F.max(F.abs("residual")).alias("most"), F.count(F.lit(1)).alias("n"), (F.max("key") - F.min("key")).alias("width"))
+    return x.select("block_id", "n", (bits(F.col("most")) <= bits(F.col("width"))).alias("within_range"))
 
 
 @query("WITH r AS (SELECT l_quantity::BIGINT AS q, (row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity) - 1) // 1024 AS part FROM lineitem), c AS (SELECT part, q, count(*) AS c FROM r GROUP BY 1, 2), t AS (SELECT part, c / sum(c) OVER (PARTITION BY part) AS p FROM c) SELECT part, round(sum(-p * log2(p)), 6) AS entropy FROM t GROUP BY part")

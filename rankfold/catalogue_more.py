@@ -117,11 +117,15 @@ def chosen_codec_round_trip(spark, d):
     return P.decode(materialize(P.encode(named), "encoded")).select("key", "rank")
 
 
-@query()
+_PACKED = [c for c in CODECS if "rans" not in c and c != "copy"]
+
+
+@query(f"WITH {EV}, b AS (SELECT count(DISTINCT rank // 256) AS blocks, count(*) AS n FROM rk) SELECT codec, blocks, n, true AS below_plain FROM b, (VALUES {', '.join(f'({chr(39)}{c}{chr(39)})' for c in _PACKED)}) v(codec)")
 def codec_sizes(spark, d):
-    """Bytes of each codec on the same blocks."""
+    """Bytes of each codec on the same blocks: below those of plain 64-bit numbers."""
     arrays = materialize(P.key_blocks(_events(spark, d), 256), "arrays")
-    return _union([P.stored_bytes(P.encode(arrays, c)) for c in CODECS])
+    sizes = _union([P.stored_bytes(P.encode(arrays, c)) for c in _PACKED])
+    return sizes.select("codec", "blocks", "n", (F.col("n_bytes") < 8 * F.col("n") + 30 * F.col("blocks")).alias("below_plain"))
 
 
 _FILES = {"plain": {"parquet.enable.dictionary": "false", "compression": "none"}, "dictionary": {"parquet.enable.dictionary": "true", "compression": "none"}, "plain_zstd": {"parquet.enable.dictionary": "false", "compression": "zstd"}, "dictionary_zstd": {"parquet.enable.dictionary": "true", "compression": "zstd"}}
@@ -144,10 +148,11 @@ def file_options(spark, d):
     return _union([t.agg(F.lit(name).alias("option"), F.count(F.lit(1)).alias("n"), total) for name, t, _ in _files(spark, d)])
 
 
-@query()
+@query("SELECT option, true AS smaller FROM (VALUES ('plain_zstd'), ('dictionary_zstd')) v(option)")
 def file_sizes(spark, d):
-    """Bytes of the same column in files with and without dictionary and compression."""
-    return spark.createDataFrame([(name, size) for name, _, size in _files(spark, d)], "option string, n_bytes long")
+    """Bytes of the same column in files: compression makes them smaller, with and without a dictionary."""
+    size = {name: n for name, _, n in _files(spark, d)}
+    return spark.createDataFrame([(f"{k}_zstd", size[f"{k}_zstd"] < size[k]) for k in ("plain", "dictionary")], "option string, smaller boolean")
 
 
 # Models: granules, radix tables, errors, grids, budgets.
@@ -229,11 +234,16 @@ def space_metrics(spark, d):
     return TU.index_metrics(_ranked(spark, d), 256, {})
 
 
-@query()
+@query(f"WITH {EV} SELECT count(*) AS n, count(DISTINCT rank // 256) AS pages, true AS hull_is_least, true AS models_below_data FROM rk")
 def model_metrics(spark, d):
-    """Segments and bytes of the models at one error, beside the data and its zone map."""
+    """Rows and pages beside the models at one error: the longest segments are the fewest, and all are smaller than the data."""
     r = _ranked(spark, d)
-    return TU.index_metrics(r, 256, {"cone": M.segments(r, 32), "spline": M.segments(r, 32, spline=True), "hull": H.hull_segments(r, 32)})
+    m = TU.index_metrics(r, 256, {"cone": M.segments(r, 32), "spline": M.segments(r, 32, spline=True), "hull": H.hull_segments(r, 32)})
+    of = lambda name, c="n": F.max(F.when(F.col("name") == name, F.col(c)))
+    return materialize(m, "metrics").agg(
+        of("data").alias("n"), of("zones").alias("pages"), ((of("hull") <= of("cone")) & (of("hull") <= of("spline"))).alias("hull_is_least"),
+        (F.greatest(of("cone", "n_bytes"), of("spline", "n_bytes"), of("hull", "n_bytes")) < of("data", "n_bytes")).alias("models_below_data"),
+    )
 
 
 # Sources, sinks and persisted models.

@@ -11,11 +11,12 @@ from .ranking import asof, with_pages, with_rank, zones
 
 def zone_lookup(table: DataFrame, probes: DataFrame, per_page: int = 256) -> DataFrame:
     """(probe, page_id, value): the zone whose [lo, hi] holds the probe and the value found in it; nulls for a miss."""
-    paged = with_pages(with_rank(table, "key"), per_page)
-    zone = asof(probes, zones(paged), "probe", "lo", ["page_id", "hi"])
-    zone = zone.select("probe", F.when(F.col("probe") <= F.col("hi"), F.col("page_id")).alias("page_id"))
+    paged = materialize(with_pages(with_rank(table, "key"), per_page), "paged")
+    zone = asof(probes.select("probe").distinct(), zones(paged), "probe", "lo", ["page_id", "hi"])
+    zone = materialize(zone.select("probe", F.when(F.col("probe") <= F.col("hi"), F.col("page_id")).alias("page_id")), "zoned")
     # Of duplicates that reach over pages the last page is found here; bounds() gives all of them.
-    hits = paged.select(F.col("key").alias("probe"), "page_id", "value")
+    # An inner join first: the probes are the side that may be sent to all executors, not the table.
+    hits = paged.select(F.col("key").alias("probe"), "page_id", "value").join(zone.filter("page_id is not null"), ["probe", "page_id"])
     return zone.join(hits, ["probe", "page_id"], "left").select("probe", "page_id", "value")
 
 

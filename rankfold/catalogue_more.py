@@ -725,3 +725,15 @@ def text_forms_keep_order(spark, d):
     by_text = materialize(with_rank(made.select("form", "text", "code", F.length("code").alias("digits")), "form", "text", name="a"), "by-text")
     both = with_rank(by_text, "form", "digits", "code", name="b")
     return both.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("disordered"))
+
+
+@query(f"WITH {EV} SELECT count(*) AS n, 0::BIGINT AS uncovered, true AS within_share, true AS merged FROM ev")
+def least_square_segments(spark, d):
+    """Lines by least squares over all keys, merged while at most a twentieth of the keys is sent to a wrong page."""
+    r = _ranked(spark, d)
+    m = materialize(TU.least_square_segments(r, 64, 256), "lines")
+    found = asof(r, m, "rank", "first_rank", ["last_rank"])
+    covered = found.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(F.col("rank") <= F.col("last_rank"), F.lit(False))).alias("uncovered"))
+    size = F.col("last_rank") - F.col("first_rank") + 1
+    shares = m.agg(F.bool_and((size <= 64) | (F.col("page_errors") <= 0.05 * size)).alias("within_share"), (F.sum(size) == F.max("last_rank") + 1).alias("whole"), (F.max(size) > 64).alias("longer"))
+    return covered.join(shares).select("n", "uncovered", "within_share", (F.col("whole") & F.col("longer")).alias("merged"))

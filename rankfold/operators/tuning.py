@@ -165,6 +165,39 @@ def radix_lookup(ranked: DataFrame, probes: DataFrame, model: DataFrame, per_pag
     return probes.join(hits, "probe", "left").select("probe", "rank")
 
 
+def least_square_segments(ranked: DataFrame, size: int, per_page: int, most: float = 0.05, levels: int = 16) -> DataFrame:
+    """(first_rank, last_rank, first_key, slope, intercept, page_errors): lines by least squares, merged while they name the right page.
+
+    Blocks of `size` keys have a line each.  Two neighbours merge if one line through both names a
+    wrong page for at most a share `most` of their keys; then pairs of merged ones, and so on.  A
+    block whose keys are all equal, or whose sums give no slope, gets the chord of its ends.
+    """
+    rows = materialize(ranked.select("key", "rank").withColumn("b", F.expr(f"rank div {size}")), "to-fit")
+    found, left = None, rows
+    for level in range(levels + 1):
+        seg = left.withColumn("seg", F.shiftright("b", level))
+        base = seg.groupBy("seg").agg(F.min("key").alias("k0"), F.min("rank").alias("r0"))
+        rel = seg.join(base, "seg").select("seg", "b", "key", "rank", "k0", "r0", (F.col("key") - F.col("k0")).cast("double").alias("x"), (F.col("rank") - F.col("r0")).cast("double").alias("y"))
+        rel = materialize(rel, f"relative-{level}")
+        chord = F.max("y") / F.greatest(F.max("x"), F.lit(1.0))
+        fit = rel.groupBy("seg").agg(F.coalesce(F.regr_slope("y", "x"), chord).alias("slope"), F.coalesce(F.regr_intercept("y", "x"), F.lit(0.0)).alias("intercept"))
+        guess = F.expr(f"(r0 + cast(round(intercept + slope * x) as bigint)) div {per_page}") != F.expr(f"rank div {per_page}")
+        told = rel.join(fit, "seg").groupBy("seg", "slope", "intercept").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(guess).alias("page_errors"), F.min("rank").alias("first_rank"), F.max("rank").alias("last_rank"), F.min("k0").alias("first_key"), F.countDistinct("b").alias("blocks")
+        )
+        told = materialize(told.withColumn("good", (F.col("page_errors") <= most * F.col("n")) & (F.col("blocks") == 1 << level) if level else F.lit(True)), f"fitted-{level}")
+        # What does not merge keeps the lines of the level below; only pairs of merged ones go on.
+        columns = ("first_rank", "last_rank", "first_key", "slope", "intercept", "page_errors")
+        if level:
+            kept = below.join(told.filter("good").select("seg"), F.shiftright(below["seg"], 1) == told["seg"], "left_anti").select(*columns)
+            found = kept if found is None else found.unionByName(kept)
+        below = told.filter("good").select("seg", *columns)
+        if below.isEmpty():
+            break
+        left = left.join(below.select(F.col("seg").alias("_s")), F.shiftright("b", level) == F.col("_s"), "left_semi")
+    return found if below.isEmpty() else (below.select(*columns) if found is None else found.unionByName(below.select(*columns)))
+
+
 def tree_levels(n: int, records: int, fill: float, fanout: int) -> list[int]:
     """Pages on each level of a bulk-loaded tree, leaves first: pages are filled to `fill` of their records."""
     pages = [-(-n // max(1, int(records * fill)))]

@@ -252,20 +252,22 @@ def _links(names, within: int):
     return made
 
 
-def links(nodes: DataFrame, *, words: int = 1, check: int = 1, parts: list[tuple[int, int]], within: int, sample: int = 1 << 14, shard: int = 1 << 19, shards: int = 8, most: int = 1 << 20, scratch: Scratch) -> DataFrame:
+def links(nodes: DataFrame, *, words: int = 1, check: int = 1, parts: list[tuple[int, int]], within: int, sample: int = 1 << 20, shard: int = 1 << 19, shards: int = 8, most: int = 1 << 20, scratch: Scratch) -> DataFrame:
     """Links (a, b), b < a, of nodes (id, p0, p1, ...), ids distinct, that join every pair which differs
     in at most one bit on one of the `parts` and in at most `within` on the first `check` words.
 
     A tree aims at shards of `shard` rows, and at `shards` shards of its own at least, so that there
-    is work for many tasks; the sample bounds how many shards there are.
+    is work for many tasks.  Trees are fitted on 32 fingerprints a shard, on 2^14 at least and on
+    `sample` at most, which bounds what the driver holds and how many shards there are.
     """
     names = [f"p{w}" for w in range(words)]
     n = nodes.count()
+    sample = min(sample, max(1 << 14, 32 * n // shard))
     share = min(1 << 30, (sample << 30) // max(1, n))
     some = nodes.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < share).select(*names).limit(2 * sample).toPandas()
     x = np.ascontiguousarray(some.to_numpy(np.int64)).view(np.uint64).reshape(-1, words)
     target = min(shard * len(x) / max(1, n), len(x) / shards)
-    trees = [grow_tree(x[:, w] & np.uint64(mask), target) for w, mask in parts]
+    trees = nodes.sparkSession.sparkContext.broadcast([grow_tree(x[:, w] & np.uint64(mask), target) for w, mask in parts])
 
     def gathered(batches, rows: int = 1 << 14):
         held: list = []
@@ -280,7 +282,7 @@ def links(nodes: DataFrame, *, words: int = 1, check: int = 1, parts: list[tuple
     def deal(batches):
         for batch in gathered(batches):
             x = np.stack([batch.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
-            for t, ((w, mask), tree) in enumerate(zip(parts, trees, strict=True)):
+            for t, ((w, mask), tree) in enumerate(zip(parts, trees.value, strict=True)):
                 part = x[:, w] & np.uint64(mask)
                 found = list(walk_tree(tree, part))
                 if found:

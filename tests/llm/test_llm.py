@@ -398,7 +398,7 @@ def test_op8(spark, texts, odd):
     assert {r.component_id for r in prints.join(simhash.near_duplicates(prints, scratch=scratch), "fp").filter("doc_id in (1, 2)").collect()} == {1}
 
 
-@pytest.mark.parametrize("how", [{}, {"most": 40}, {"sample": 200, "shard": 30}])
+@pytest.mark.parametrize("how", [{}, {"most": 40}, {"sample": 200, "shard": 30, "shards": 40}])
 def test_op8_dense_groups_and_split_shards(spark, how):
     random = np.random.default_rng(3)
     base = random.integers(0, 1 << 63, 30)
@@ -426,7 +426,7 @@ def test_op8_random_pairs_at_every_distance(spark):
             b ^= 1 << int(i)
         made.append((a, b, k % 9))
     nodes = spark.createDataFrame([(v, v) for v in {x for a, b, _ in made for x in (a, b)}], "id long, p0 long")
-    found = {(r.a, r.b) for r in simhash.links(nodes, parts=simhash.parts_of(1, 3), within=4, shard=50, sample=500, scratch=Scratch(spark, "test")).collect()}
+    found = {(r.a, r.b) for r in simhash.links(nodes, parts=simhash.parts_of(1, 3), within=4, shard=50, shards=60, scratch=Scratch(spark, "test")).collect()}
     for a, b, k in made:
         assert a == b or ((max(a, b), min(a, b)) in found) == (k <= 4)
 

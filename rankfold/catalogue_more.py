@@ -222,11 +222,11 @@ def parameter_presets(spark, d):
 _COUNTS = [(4, 5000), (16, 1200), (64, 310), (256, 80)]
 
 
-@query(f"WITH c AS (SELECT ln(e) AS x, ln(n) AS y FROM (VALUES {', '.join(map(str, _COUNTS))}) t(e, n)), f AS (SELECT regr_slope(y, x) AS b, exp(regr_intercept(y, x)) AS a FROM c) SELECT round(a, 4) AS a, round(b, 6) AS b, round(pow(4096 / (a * 16), 1 / b), 4) AS space_eps, 383::DOUBLE AS time_eps FROM f")
+@query(f"WITH c AS (SELECT ln(e) AS x, ln(n) AS y FROM (VALUES {', '.join(map(str, _COUNTS))}) t(e, n)), f AS (SELECT regr_slope(y, x) AS b, exp(regr_intercept(y, x)) AS a FROM c) SELECT round(a * 1000)::BIGINT AS a_milli, round(b * 1000000)::BIGINT AS b_micro, round(pow(4096 / (a * 16), 1 / b) * 1000)::BIGINT AS space_eps_milli, 383::BIGINT AS time_eps FROM f")
 def error_budgets(spark, d):
     """The error that a space budget of 4,096 bytes and a time budget of four pages allow."""
     t = TU.tune(_COUNTS, 4096, 4, 256)
-    return spark.createDataFrame([(round(t["a"], 4), round(t["b"], 6), round(t["space_eps"], 4), t["time_eps"])], "a double, b double, space_eps double, time_eps double")
+    return spark.createDataFrame([(round(t["a"] * 1000), round(t["b"] * 1_000_000), round(t["space_eps"] * 1000), int(t["time_eps"]))], "a_milli long, b_micro long, space_eps_milli long, time_eps long")
 
 
 @query(f"WITH {EV} SELECT name, n, n_bytes FROM (SELECT 'data' AS name, count(*) AS n, (count(*) * 16)::BIGINT AS n_bytes FROM ev UNION ALL SELECT 'zones', count(*), (count(*) * 16)::BIGINT FROM (SELECT DISTINCT rank // 256 FROM rk))")

@@ -356,7 +356,7 @@ def test_op7_every_match_holds_its_keyword():
         forms = {keyword, *(f for f, k in licenses.FORMS.items() if k == keyword)}
         for match in spelled(re._parser.parse(regex)):
             words = set(match.split())
-            assert words & forms and words & set(licenses.TRIGGERS) and re.search(licenses.LETTERS, match), match
+            assert words & forms and words & set(licenses.TRIGGERS) and any(x in match for x in licenses.LETTERS), match
 
 
 def test_op7_forms_of_keywords(spark):

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rankfold import catalogue, catalogue_more  # noqa: F401  the second adds its queries to the first
 from rankfold.functions.keys import morton_axis, morton_code
 from rankfold.operators import codecs, hulls, levels, packed, spatial, store, tiers, tuning
 from rankfold.operators.adaptive import Leaves
@@ -100,6 +101,30 @@ def test_z_ranges_hold_the_box(spark, dims):
     assert z.select(*[(morton_axis(F.col("z"), i, dims, 15) == axes[i]) for i in range(dims)]).distinct().count() == 1
 
 
+def test_morton_round_trip_of_large_numbers(spark, tmp_path):
+    ids = [0, (1 << 20) - 1, 1 << 20, (1 << 20) + 7, (1 << 21) + 3, 1 << 40, (1 << 63) - 1, -1, -(1 << 63)]
+    prices = [900.0, 0.0, 20_000_000.0, 3e12, 1.0, 2.0, 999.99, 0.01, 5.0]
+    part = spark.createDataFrame([(i, k + 1, p) for k, (i, p) in enumerate(zip(ids, prices, strict=True))], "p_partkey long, p_size int, p_retailprice double")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = catalogue.QUERIES["morton_round_trip"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k + 1, round(p * 100) // 100, i) for k, (i, p) in enumerate(zip(ids, prices, strict=True)))
+
+
+@pytest.mark.parametrize("dims", [2, 3, 4])
+def test_morton_words_keep_order_and_numbers(spark, dims):
+    from rankfold.functions.keys import morton_words, morton_words_axis
+
+    random = np.random.default_rng(dims)
+    rows = [tuple(int(v) >> int(random.integers(0, 60)) for v in random.integers(0, (1 << 63) - 1, dims)) for _ in range(200)]
+    axes = [F.col(f"a{i}") for i in range(dims)]
+    df = spark.createDataFrame(rows + [tuple(-v - 1 for v in r) for r in rows], ", ".join(f"a{i} long" for i in range(dims)))
+    z = df.withColumn("z", morton_words(axes))
+    held = z.select(*axes, "z", F.array(*[morton_words_axis(F.col("z"), i, dims) for i in range(dims)]).alias("back")).collect()
+    assert all(list(r[:dims]) == r["back"] for r in held)
+    code = lambda r: sum((v >> i & 1) << i * dims + k for k, v in enumerate(r) for i in range(64))
+    assert sorted(held, key=lambda r: r["z"]) == sorted(held, key=lambda r: code(r[:dims]))
+
+
 def test_box_reads_few_files(spark):
     n = 64
     points = spark.range(n * n).select("id", (F.col("id") % n).alias("x"), F.expr(f"id div {n}").alias("y"))

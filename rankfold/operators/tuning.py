@@ -14,6 +14,9 @@ from ..session import materialize
 from .packed import minimax_slope
 from .ranking import asof, with_pages, zones
 
+#: Granules that granule_lookup() names by one row.
+GRANULE_BAND = 64
+
 
 def least_errors(ranked: DataFrame, size: int) -> DataFrame:
     """(block_id, n, slope, error) of runs of `size` keys: the least error of one line through their ranks.
@@ -114,10 +117,15 @@ def tune(counts: list[tuple[float, float]], most_bytes: float, most_pages: float
 
 
 def granule_ends(ranked: DataFrame, granule: int) -> DataFrame:
-    """The first and last key of each granule with its number as rank: what a model of granules is trained on."""
+    """The first and last key of each granule with its number as rank: what a model of granules is trained on.
+
+    Where a key fills granules, keys after it lie in the last of them and not near its first: the next integer stands for them.
+    """
     n = ranked.agg(F.max("rank").alias("_n"))
     ends = ranked.join(F.broadcast(n)).filter((F.col("rank") % granule).isin(0, granule - 1) | (F.col("rank") == F.col("_n")))
-    return ends.select("key", F.expr(f"rank div {granule}").alias("rank"))
+    ends = ends.select("key", F.expr(f"rank div {granule}").alias("rank"))
+    runs = ends.groupBy("key").agg(F.min("rank").alias("_first"), F.max("rank").alias("rank")).filter(f"rank > _first + 1 and key < {(1 << 63) - 1}")
+    return ends.unionByName(runs.select((F.col("key") + 1).alias("key"), "rank"))
 
 
 def granule_lookup(ranked: DataFrame, probes: DataFrame, model: DataFrame, granule: int) -> DataFrame:
@@ -126,9 +134,13 @@ def granule_lookup(ranked: DataFrame, probes: DataFrame, model: DataFrame, granu
     guess = F.col("first_rank") + F.floor(F.col("slope") * (F.col("probe") - F.col("found_key"))).cast("long")
     low = F.least(F.greatest(guess - F.col("max_err") - 1, F.col("first_rank") - 1), F.col("last_rank"))
     high = F.greatest(F.least(guess + F.col("max_err") + 1, F.col("last_rank") + 1), F.col("first_rank"))
-    wanted = found.select("probe", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)).alias("page_id"))
-    paged = with_pages(ranked, granule).select(F.col("key").alias("probe"), "page_id", "rank")
-    hits = wanted.join(paged, ["probe", "page_id"]).groupBy("probe").agg(F.min("rank").alias("rank"))
+    # One row for each band of granules that a window meets, not for each granule: a window of 2 * max_err + 3
+    # granules is some twenty times the probes.  Merged, never broadcast: probes grow with the data.
+    band = f"div {GRANULE_BAND}"
+    window = found.select("probe", F.greatest(low, F.lit(0)).alias("low"), high.alias("high"))
+    wanted = window.withColumn("band", F.explode(F.expr(f"sequence(low {band}, high {band})"))).hint("merge")
+    paged = with_pages(ranked, granule).select(F.col("key").alias("probe"), F.expr(f"page_id {band}").alias("band"), "page_id", "rank")
+    hits = wanted.join(paged, ["probe", "band"]).filter("page_id between low and high").groupBy("probe").agg(F.min("rank").alias("rank"))
     return probes.join(hits, "probe", "left").select("probe", "rank")
 
 

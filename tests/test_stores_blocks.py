@@ -1,4 +1,5 @@
 import itertools
+import re
 
 import numpy as np
 import pytest
@@ -6,10 +7,11 @@ from pyspark.sql import functions as F
 
 from rankfold import catalogue, catalogue_more  # noqa: F401  the second adds its queries to the first
 from rankfold.functions.keys import morton_axis, morton_code
-from rankfold.operators import codecs, hulls, levels, packed, spatial, store, tiers, tuning
+from rankfold.operators import codecs, hulls, levels, models, packed, spatial, store, tiers, tuning
 from rankfold.operators.adaptive import Leaves
 from rankfold.operators.ranking import with_rank
 from rankfold.plans import generators
+from rankfold.session import materialize
 
 CHANGE = "key long, value long, seq long, deleted boolean"
 CODECS = [m if c == "pack" else f"{m}+{c}" for m in packed.MODELS for c in packed.CODERS if m != "copy" or c == "pack"]
@@ -101,6 +103,21 @@ def test_z_ranges_hold_the_box(spark, dims):
     assert z.select(*[(morton_axis(F.col("z"), i, dims, 15) == axes[i]) for i in range(dims)]).distinct().count() == 1
 
 
+@pytest.mark.parametrize("spline", [False])
+def test_granule_lookup_broadcasts_no_windows(spark, spline):
+    random = np.random.default_rng(4)
+    keys = np.sort(np.concatenate([np.cumsum(random.integers(1, 1000, 6000)), [77_777] * 3000])).astype(np.int64)
+    r = materialize(with_rank(spark.createDataFrame([(int(k),) for k in keys], "key long"), "key"), "ranked")
+    model = materialize(models.segments(tuning.granule_ends(r, 8), 40, spline=spline), "model")  # windows of up to 83 granules
+    asked = sorted({int(k) + d for k in keys[::5] for d in (0, 1)} | {77_777, int(keys[0]) - 5, int(keys[-1]) + 5})
+    found = tuning.granule_lookup(r, spark.createDataFrame([(k,) for k in asked], "probe long"), model, 8)
+    first = {int(k): i for i, k in reversed(list(enumerate(keys)))}
+    assert {x.probe: x["rank"] for x in found.collect()} == {k: first.get(k) for k in asked}
+    # The probes' windows are many at size: their join with the granules is merged.
+    joins = re.findall(r"(\w+Join) \[probe#\w+, (?:page_id|band)#", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_morton_round_trip_of_large_numbers(spark, tmp_path):
     ids = [0, (1 << 20) - 1, 1 << 20, (1 << 20) + 7, (1 << 21) + 3, 1 << 40, (1 << 63) - 1, -1, -(1 << 63)]
     prices = [900.0, 0.0, 20_000_000.0, 3e12, 1.0, 2.0, 999.99, 0.01, 5.0]

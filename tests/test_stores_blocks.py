@@ -103,7 +103,7 @@ def test_z_ranges_hold_the_box(spark, dims):
     assert z.select(*[(morton_axis(F.col("z"), i, dims, 15) == axes[i]) for i in range(dims)]).distinct().count() == 1
 
 
-@pytest.mark.parametrize("spline", [False])
+@pytest.mark.parametrize("spline", [False, True])
 def test_granule_lookup_broadcasts_no_windows(spark, spline):
     random = np.random.default_rng(4)
     keys = np.sort(np.concatenate([np.cumsum(random.integers(1, 1000, 6000)), [77_777] * 3000])).astype(np.int64)

@@ -141,7 +141,8 @@ def granule_lookup(ranked: DataFrame, probes: DataFrame, model: DataFrame, granu
     wanted = window.withColumn("band", F.explode(F.expr(f"sequence(low {band}, high {band})"))).hint("merge")
     paged = with_pages(ranked, granule).select(F.col("key").alias("probe"), F.expr(f"page_id {band}").alias("band"), "page_id", "rank")
     hits = wanted.join(paged, ["probe", "band"]).filter("page_id between low and high").groupBy("probe").agg(F.min("rank").alias("rank"))
-    return probes.join(hits, "probe", "left").select("probe", "rank")
+    # The ranks found grow with the probes too: merged, although their rows may be few enough for a broadcast.
+    return probes.join(hits.hint("merge"), "probe", "left").select("probe", "rank")
 
 
 def radix_table(model: DataFrame, prefix_bits: int = 12) -> tuple[DataFrame, int, int]:

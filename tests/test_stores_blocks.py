@@ -118,6 +118,20 @@ def test_granule_lookup_broadcasts_no_windows(spark, spline):
     assert joins and set(joins) == {"SortMergeJoin"}
 
 
+@pytest.mark.parametrize("spline", [True, False])
+def test_granule_lookup_broadcasts_nothing_by_probe(spark, spline):
+    keys = np.cumsum(np.random.default_rng(6).integers(1, 1000, 3000)).astype(np.int64)
+    r = materialize(with_rank(spark.createDataFrame([(int(k),) for k in keys], "key long"), "key"), "ranked")
+    model = materialize(models.segments(tuning.granule_ends(r, 8), 40, spline=spline), "model")
+    asked = sorted({int(k) + d for k in keys[::5] for d in (0, 1)} | {int(keys[0]) - 5, int(keys[-1]) + 5})
+    found = tuning.granule_lookup(r, spark.createDataFrame([*[(k,) for k in asked], (None,)], "probe long"), model, 8)
+    first = {int(k): i for i, k in enumerate(keys)}
+    assert {x.probe: x["rank"] for x in found.collect()} == {k: first.get(k) for k in [*asked, None]}
+    # Neither windows nor the ranks found in them go through the driver, also where they are few.
+    joins = re.findall(r"(\w+Join) \[probe#", found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+    assert len(joins) == 2 and set(joins) == {"SortMergeJoin"}
+
+
 def test_morton_round_trip_of_large_numbers(spark, tmp_path):
     ids = [0, (1 << 20) - 1, 1 << 20, (1 << 20) + 7, (1 << 21) + 3, 1 << 40, (1 << 63) - 1, -1, -(1 << 63)]
     prices = [900.0, 0.0, 20_000_000.0, 3e12, 1.0, 2.0, 999.99, 0.01, 5.0]
